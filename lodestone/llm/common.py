@@ -43,7 +43,7 @@ def work_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
     The files go when the application ends."""
     path = f"{shared_dir(spark)}/work-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)

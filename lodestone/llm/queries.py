@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER, UPPER, table
 from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.line_dedup import drop_boilerplate
+from lodestone.llm.packing import pack
+
+#: The public tokenizer of op10: a file name in the installed collection, or a path.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return name if "/" in name else str(public_tokenizers.path(name))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +25,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 #: DuckDB's words of a text, as common.words() has them.
 SQL_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -36,6 +57,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+pages AS (SELECT DISTINCT source, text, lines FROM d WHERE source IS NOT NULL AND text IS NOT NULL),
+totals AS (SELECT source, count(*) AS n_all FROM pages GROUP BY source),
+counts AS (
+  SELECT source, line, count(*) AS n
+  FROM (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: trim(x) <> ''))) AS line FROM pages)
+  GROUP BY source, line),
+bad AS (
+  SELECT source, list(line) AS bad FROM counts JOIN totals USING (source)
+  WHERE n >= 5 AND n / n_all > 0.1 GROUP BY source),
+kept AS (
+  SELECT doc_id, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept
+  FROM d LEFT JOIN bad USING (source))
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
+       CAST(length(coalesce(array_to_string(kept, chr(10)), '')) AS BIGINT) AS n_chars,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256
+FROM kept
+"""
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_packing": op10_packing}
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_line_dedup": OP7_SQL}
