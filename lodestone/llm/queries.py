@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER, UPPER, table
 from lodestone.llm.decontaminate import decontaminate
+from lodestone.llm.gif import store_texts, summarize
 from lodestone.llm.line_dedup import drop_boilerplate
 from lodestone.llm.packing import pack
+from lodestone.llm.warc import read_archives, write_archives
 
 #: The public tokenizer of op10: a file name in the installed collection, or a path.
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +33,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = summarize(store_texts(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("cs="), "duration_cs"), F.concat(F.lit("hist="), F.array_join(F.col("histogram").cast("array<string>"), ",")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    out = read_archives(write_archives(pages), payloads=False)
+    return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("ok").alias("digests_hold"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -77,6 +92,6 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM kept
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_decontamination": op1_decontamination, "op6_gif": op6_gif, "op7_line_dedup": op7_line_dedup, "op8_warc": op8_warc, "op10_packing": op10_packing}
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_line_dedup": OP7_SQL}
