@@ -9,6 +9,7 @@ from lodestone.llm.common import LOWER, UPPER, table
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.gif import store_texts, summarize
 from lodestone.llm.line_dedup import drop_boilerplate
+from lodestone.llm.near_dup import near_duplicates
 from lodestone.llm.packing import pack
 from lodestone.llm.warc import read_archives, write_archives
 
@@ -33,6 +34,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = summarize(store_texts(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("cs="), "duration_cs"), F.concat(F.lit("hist="), F.array_join(F.col("histogram").cast("array<string>"), ",")))
@@ -92,6 +97,6 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM kept
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op6_gif": op6_gif, "op7_line_dedup": op7_line_dedup, "op8_warc": op8_warc, "op10_packing": op10_packing}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_near_dup": op4_near_dup, "op6_gif": op6_gif, "op7_line_dedup": op7_line_dedup, "op8_warc": op8_warc, "op10_packing": op10_packing}
 
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_line_dedup": OP7_SQL}
