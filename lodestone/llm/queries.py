@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm import quality, toxicity
 from lodestone.llm.common import LOWER, UPPER, table
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.gif import store_texts, summarize
+from lodestone.llm.html_extract import extract_pages
+from lodestone.llm.labelled import fold
 from lodestone.llm.line_dedup import drop_boilerplate
 from lodestone.llm.near_dup import near_duplicates
 from lodestone.llm.packing import pack
+from lodestone.llm.url_filter import DAMPING, ITERATIONS, LINK, RULES, THRESHOLD, judge
 from lodestone.llm.warc import read_archives, write_archives
 
 #: The public tokenizer of op10: a file name in the installed collection, or a path.
@@ -34,10 +38,25 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = summarize(store_texts(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("cs="), "duration_cs"), F.concat(F.lit("hist="), F.array_join(F.col("histogram").cast("array<string>"), ",")))
@@ -51,6 +70,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.col("ok").alias("digests_hold"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -97,6 +123,62 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM kept
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_near_dup": op4_near_dup, "op6_gif": op6_gif, "op7_line_dedup": op7_line_dedup, "op8_warc": op8_warc, "op10_packing": op10_packing}
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op7_line_dedup": OP7_SQL}
+def _op2_sql() -> str:
+    fits = "WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{v}'"
+    by_length = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda pick: "CASE " + " ".join(fits.format(h=h, p=p, v=pick(v, h, p)) for v, h, p in by_length) + " END"
+    links = LINK.replace("'", "''")
+    steps = [f"""r{i + 1} AS MATERIALIZED (
+  SELECT kind, host, sum(r) AS r FROM (SELECT * FROM seeds UNION ALL
+    SELECT w.kind, w.host, r.r * w.w FROM w JOIN r{i} r ON r.kind = w.kind AND r.host = w.f) GROUP BY kind, host)""" for i in range(ITERATIONS)]
+    return rf"""
+WITH parts AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM parts),
+urls AS (
+  SELECT page_id, html, translate(h, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM split),
+judged AS (SELECT page_id, host, path, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM urls),
+hosts AS (
+  SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad
+  FROM judged WHERE host <> '' GROUP BY host),
+linked AS (
+  SELECT src, translate(dst, '{UPPER}', '{LOWER}') AS dst
+  FROM (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{links}', 1)) AS dst FROM urls)),
+up AS (
+  SELECT * FROM (SELECT host AS src, regexp_replace(host, '^[^.]*\.', '') AS dst FROM hosts)
+  WHERE src <> dst AND dst IN (SELECT host FROM hosts)),
+edges AS (
+  SELECT DISTINCT src, dst FROM (SELECT * FROM linked UNION ALL SELECT * FROM up UNION ALL SELECT dst, src FROM up)
+  WHERE src <> '' AND dst <> '' AND src <> dst),
+ways AS (SELECT 'trust' AS kind, src AS f, dst AS host FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges),
+w AS MATERIALIZED (SELECT kind, f, host, {DAMPING}::DOUBLE / count(*) OVER (PARTITION BY kind, f) AS w FROM ways),
+s AS (SELECT 'trust' AS kind, host FROM hosts WHERE 2 * good > n UNION ALL SELECT 'distrust', host FROM hosts WHERE 2 * bad > n),
+seeds AS MATERIALIZED (SELECT kind, host, (1 - {DAMPING}::DOUBLE) / count(*) OVER (PARTITION BY kind) AS r FROM s),
+r0 AS (SELECT * FROM seeds),
+{",".join(steps)},
+scores AS (
+  SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) * (SELECT count(*) FROM hosts) AS trust,
+         coalesce(sum(r) FILTER (kind = 'distrust'), 0) * (SELECT count(*) FROM hosts) AS distrust
+  FROM r{ITERATIONS} GROUP BY host)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN distrust >= {THRESHOLD} AND distrust > trust THEN 'block' END, 'allow') AS verdict
+FROM judged LEFT JOIN scores USING (host)
+"""
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_url_filter": op2_url_filter,
+    "op3_quality": op3_quality,
+    "op4_near_dup": op4_near_dup,
+    "op5_html": op5_html,
+    "op6_gif": op6_gif,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
+}
+
+#: The others can't be said in SQL and are tested against brute force, round trips or held-out rows.
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_url_filter": _op2_sql(), "op7_line_dedup": OP7_SQL}
