@@ -47,9 +47,9 @@ def _spread(df: DataFrame, column: str, length: int, fold) -> DataFrame:
 
 
 def gram_sizes(t: int) -> tuple[int, int]:
-    """(k, w): the largest power of two k with 2k <= t + 3, and w = t + 1 - k."""
+    """(k, w): the largest power of two k with 2k <= t + 3 and k <= t, and w = t + 1 - k."""
     k = 1
-    while 4 * k <= t + 3:
+    while 4 * k <= t + 3 and 2 * k <= t:
         k *= 2
     return k, t + 1 - k
 
