@@ -237,23 +237,30 @@ class ToxicityModel:
             best = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
             also = r.integers(0, len(index), len(best))  # a second window each: any, with the label only where it is clean
             also = also[own[text[also]] == 0]
-            pick = np.concatenate([best, also])
+            # and its beginning alone, from nothing to half a window, so that short and empty texts are known too
+            few = also[::5]
+            short = np.where(np.arange(WINDOW) < r.integers(0, WINDOW // 2, len(few))[:, None], index[few], -1)
+            short[::4] = -1
+            seen, whose = np.concatenate([index, short]), np.concatenate([text, text[few]])
+            pick = np.concatenate([best, also, np.arange(len(index), len(seen))])
             for _ in range(epochs):
                 for part in np.array_split(r.permutation(pick), max(1, len(pick) // 256)):
-                    g = self.net.gradients(x_all, index[part], own[text[part]].astype(np.float32), weight[text[part]] / len(part))
+                    g = self.net.gradients(x_all, seen[part], own[whose[part]].astype(np.float32), weight[whose[part]] / len(part))
                     step += 1
                     for k, v in g.items():
                         mean[k] = 0.9 * mean[k] + 0.1 * v
                         square[k] = 0.99 * square[k] + 0.01 * v * v
                         self.net.p[k] = (self.net.p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             lead = self.net.logits(x_all, index)
+        # longer texts than calibration knows count as its long ones
+        self.most = float(np.quantile(np.bincount(text), 0.95))
         top = self._features(lead, text, len(mine))
-        self.calibrated = Logistic(top, own.astype(float))
+        brief = np.stack([self.net.logits(x_all, short).astype(np.float64), np.zeros(len(short))], axis=1)
+        self.calibrated = Logistic(np.concatenate([top, brief]), np.concatenate([own.astype(float), np.zeros(len(short))]))
 
-    @staticmethod
-    def _features(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    def _features(self, logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         first = np.searchsorted(text, np.arange(n))
-        return np.stack([np.maximum.reduceat(logits.astype(np.float64), first), np.log(np.diff(np.append(first, len(text))))], axis=1)
+        return np.stack([np.maximum.reduceat(logits.astype(np.float64), first), np.log(np.minimum(np.diff(np.append(first, len(text))), self.most))], axis=1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Scores of texts given as single-spaced words."""
