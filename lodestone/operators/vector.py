@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestone.options import DEFAULT_RADIUS, DEFAULT_TOP_K
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     """In double precision, in the JVM."""
@@ -35,10 +38,19 @@ def range_search(vectors: DataFrame, query: Column | list[float], radius: float
     return near.where(F.col("dist") < radius).select(F.col(id_column).alias("id"), "dist").orderBy("dist", "id").limit(top_k)
 
 
-def range_join(vectors: DataFrame, queries: DataFrame, radius: float = DEFAULT_RADIUS, id_column: str = "object_id", data: str = "data") -> DataFrame:
-    """(query_id, id, dist) for a stated, small set of query vectors (query_id, query) against all vectors."""
-    near = vectors.crossJoin(F.broadcast(queries)).withColumn("dist", squared_distance(F.col(data), F.col("query")))
-    return near.where(F.col("dist") < radius).select("query_id", F.col(id_column).alias("id"), "dist")
+def range_join(vectors: DataFrame, queries: DataFrame, radius: float = DEFAULT_RADIUS, id_column: str = "object_id", data: str = "data", block_rows: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, dist) for a stated set of query vectors (query_id, query) against all vectors.
+
+    Queries are dealt by hash into blocks of about `block_rows`; each block is broadcast and meets all vectors in turn,
+    so what is broadcast at once stays near that size; the plan grows by one scan of the vectors with each block."""
+    n = max(1, -(-queries.count() // block_rows))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    out = None
+    for i in range(n):
+        part = vectors.crossJoin(F.broadcast(queries.where(block == i))).withColumn("dist", squared_distance(F.col(data), F.col("query")))
+        part = part.where(F.col("dist") < radius).select("query_id", F.col(id_column).alias("id"), "dist")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def pack_vector(values: list[float]) -> bytes:

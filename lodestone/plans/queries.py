@@ -105,7 +105,7 @@ def vector_range_topk(spark, sf_dir):
 
 
 def vector_range_join(spark, sf_dir):
-    some = _vectors(spark, sf_dir).where("object_id < 5").select(F.col("object_id").alias("query_id"), F.col("data").alias("query"))
+    some = _vectors(spark, sf_dir).where("object_id % 20 = 0").select(F.col("object_id").alias("query_id"), F.col("data").alias("query"))
     return _round(vc.range_join(_vectors(spark, sf_dir), some, 1.5), "dist")
 
 
@@ -277,7 +277,7 @@ ORACLE_SQL = {
     "fts_objects_with_digest": f"WITH {_hits_sql(NAME_QUERY)} SELECT id, path, name_match, round(rank, 6) AS rank, sha256(content) AS file_digest FROM hits JOIN {OBJECTS} o USING (id)",
     "fts_short_phrase_dropped": f"WITH {_match_sql(['tion'], ft.COLUMNS, 'm')} SELECT id, round(rank, 6) AS rank FROM (SELECT * FROM m ORDER BY rank, id LIMIT {TOP_K})",
     "vector_range_topk": f"WITH {_VSS} SELECT id, round(dist, 6) AS dist FROM vss",
-    "vector_range_join": f"SELECT query_id, id, round(dist, 6) AS dist FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST.format(a='e.embedding', b='q.embedding')} AS dist FROM embeddings e, embeddings q WHERE q.vec_id < 5) WHERE dist < 1.5",
+    "vector_range_join": f"SELECT query_id, id, round(dist, 6) AS dist FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_DIST.format(a='e.embedding', b='q.embedding')} AS dist FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE dist < 1.5",
     "hybrid_merge_tiers": f"""WITH {_VSS}, {_hits_sql(NAME_QUERY)},
 s AS (SELECT id, dist, row_number() OVER (ORDER BY dist, id) - 1 AS i FROM vss),
 f AS (SELECT id, rank, name_match, row_number() OVER (ORDER BY name_match DESC, rank, id) - 1 AS i FROM hits)

@@ -7,6 +7,7 @@ import pytest
 from lodestone.api import Index
 from lodestone.functions.highlight import find_highlights
 from lodestone.operators import fulltext as ft
+from lodestone.operators import vector as vc
 from lodestone.operators.snapshot import fill_batches
 from lodestone.options import Query, SearchOptions, match_phrases
 from lodestone.sources.ignore import IgnoreTree, opinion, parse_rules
@@ -166,3 +167,13 @@ def test_event_paths(spark):
     rows = [("moved", "a", "b", False), ("created", "c", None, False), ("opened", "d", None, False), ("deleted", "e", None, True)]
     got = ch.event_paths(spark.createDataFrame(rows, "type string, src string, dest string, is_directory boolean"))
     assert sorted(r.path for r in got.collect()) == ["a", "b", "c"]
+
+
+def test_range_join_blocks_equal_one_block(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "object_id long, data array<float>")
+    queries = vectors.where("object_id % 20 = 0").selectExpr("object_id AS query_id", "data AS query")
+    want = sorted((q, i, sum((x - y) ** 2 for x, y in zip(a, b))) for q, a in rows if q % 20 == 0 for i, b in rows if sum((x - y) ** 2 for x, y in zip(a, b)) < 3.0)
+    for block_rows in (1, 4096):
+        assert sorted(map(tuple, vc.range_join(vectors, queries, 3.0, block_rows=block_rows).collect())) == want
+    assert vc.range_join(vectors, queries.limit(0), 3.0).count() == 0
