@@ -5,6 +5,8 @@ around them, how much of the block is links), tags score negative by their weigh
 run of the highest sum. Weights are log odds learned from labelled pages: `label_pages()` is a small fixed set of
 marked layouts; pages of a corpus that mark their article themselves can be added with `learn()`. Blocks inside the
 region whose surroundings are those of menus, forms, notices, adverts or comments are left out; all else stays whole.
+As they are left out, they weigh nothing, words and tags: the run goes on behind them however long they are. Only the
+page's menus, headers and footers outside any container that is marked as content count against a run that spans them.
 
 Text rules: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined
 by a blank line in page order. Cases: null or empty html gives empty text; malformed markup (unclosed or stray tags,
@@ -49,13 +51,18 @@ ASIDE_WORDS = {
 #: Tags around a word that mark the same. Fixed values.
 ASIDE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "label", "fieldset", "head"}
 MAIN_WORDS = {"content", "article", "story", "entry", "post", "main", "body", "text"}
+MAIN_FEATURES = {f".{x}" for x in MAIN_WORDS}
+#: Asides that part the page where no container around them is marked as content; all others weigh nothing.
+LANDMARKS = {"nav", "header", "footer"}
+WEIGHTLESS, PARTING = 1, 2
 
 
 class Block:
-    __slots__ = ("text", "n_words", "features", "linked", "tags_before", "bad")
+    __slots__ = ("text", "n_words", "features", "linked", "tags_before", "bad", "weightless", "outer")
 
-    def __init__(self, text, features, linked, tags_before, bad):
+    def __init__(self, text, features, linked, tags_before, bad, weightless, outer):
         self.text, self.features, self.linked, self.tags_before, self.bad = text, features, linked, tags_before, bad
+        self.weightless, self.outer = weightless, outer  # outer: the tags before, without those of weightless asides
         self.n_words = text.count(" ") + 1
 
 
@@ -71,22 +78,26 @@ def _names(attributes: str) -> set[str]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, each with its surroundings and the tags since the block before."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, bool]] = []  # tag, features, aside
+    stack: list[tuple[str, frozenset, int]] = []  # tag, features, kind of aside or 0
     held: list[str] = []
     linked = 0
     in_link = 0
     tags: list[str] = []
+    outer: list[str] = []
     at, n = 0, len(page)
 
+    def weightless():
+        return next((a for _, _, a in stack if a), 0) == WEIGHTLESS
+
     def close():
-        nonlocal held, linked, tags
+        nonlocal held, linked, tags, outer
         if held:
             text = " ".join(htmllib.unescape("".join(held)).split())
             if text:
                 features = frozenset().union(*(f for _, f, _ in stack))
                 bad = any(b for _, _, b in stack)
-                out.append(Block(text, features, linked, tags, bad))
-                tags = []
+                out.append(Block(text, features, linked, tags, bad, weightless(), outer))
+                tags, outer = [], []
             held, linked = [], 0
 
     while at < n:
@@ -116,6 +127,8 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             close()
             tags.append(tag if not ending else "/" + tag)
+            if (ending or tag in VOID) and not weightless():
+                outer.append(tags[-1])
         elif tag == "br":
             held.append(" ")
         if tag in VOID:
@@ -137,7 +150,13 @@ def blocks(page: str) -> list[Block]:
             inner = any(t in ("article", "main") for t, _, _ in stack)
             # an article's own header (title) is text; its other asides are not
             aside = (tag in ASIDE_TAGS and not (tag == "header" and inner)) or bool(names & ASIDE_WORDS and not (tag in ("article", "main", "body") or names & MAIN_WORDS)) or bool(_HIDDEN.search(attributes))
-            stack.append((tag, frozenset(features), aside))
+            kind = 0
+            if aside:
+                marked = inner or any(f & MAIN_FEATURES for t, f, _ in stack if t not in ("body", "html"))
+                kind = PARTING if tag in LANDMARKS and not marked else WEIGHTLESS
+            stack.append((tag, frozenset(features), kind))
+            if not weightless():
+                outer.append(tag)
     close()
     for mark in ("<article>", "<main>"):  # a page that marks its article says so of every block
         if any(mark in b.features and not b.bad for b in out):
@@ -156,12 +175,12 @@ class Weights:
     def block(self, b: Block) -> float:
         """Score of each word of a block."""
         if b.bad:
-            return -4.0
+            return 0.0 if b.weightless else -4.0
         links = 0.0 if b.features & {"in <article>", "in <main>"} else b.linked / max(1, len(b.text))
         return max(-4.0, min(4.0, self.base + sum(self.word.get(f, 0.0) for f in b.features))) - 3.0 * min(1.0, links)
 
     def tags(self, b: Block) -> float:
-        return sum(self.tag.get(t, -0.5) for t in b.tags_before)
+        return sum(self.tag.get(t, -0.5) for t in b.outer)
 
 
 def learn(pages: list[tuple[str, object]], smooth: float = 4.0) -> Weights:

@@ -32,6 +32,22 @@ def test_layouts(open_, end):
     assert hx.extract(page).split("\n\n") == ["Title & more", PROSE, f"{PROSE} second <line> link", "first", "second", PROSE]
 
 
+@pytest.mark.parametrize("open_,end", [("<article>", "</article>"), ("<main>", "</main>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>")])
+@pytest.mark.parametrize("aside", ["<form><p>{}</p></form>", "<div class='ad'>{}</div>", "<aside><h3>{}</h3></aside>", "<div class='related'><ul>{}</ul></div>"])
+def test_long_asides_inside_the_article(open_, end, aside):
+    inside = "<li>more to read here</li>" * 60 if "<ul>" in aside else "sign up for our letter " * 40
+    menu = "<nav><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a></ul></nav>"
+    page = f"<html><body>{menu}{open_}<h1>Title</h1><p>{PROSE}</p>{aside.format(inside)}<p>{PROSE}</p><p>{PROSE}</p>{end}<footer>about us</footer></body></html>"
+    assert hx.extract(page).split("\n\n") == ["Title", PROSE, PROSE, PROSE]
+
+
+def test_a_menu_parts_the_page():
+    page = f"<body><div>A slogan</div><nav><ul><li><a href='/a'>Home page</a><li><a href='/b'>All news</a></ul></nav><div><p>{PROSE}</p></div></body>"
+    assert hx.extract(page) == PROSE
+    toc = "<nav class='toc'><ul>" + "<li><a href='#x'>part of it</a></li>" * 40 + "</ul></nav>"
+    assert hx.extract(f"<body><article><p>{PROSE}</p>{toc}<p>{PROSE}</p></article></body>") == f"{PROSE}\n\n{PROSE}"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- never ends", "<script>x", "</p></div>", "<a href='x"])
 def test_no_text(page):
     assert hx.extract(page) in ("", "<")
