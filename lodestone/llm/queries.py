@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import quality, toxicity
-from lodestone.llm.common import LOWER, UPPER, table
+from lodestone.llm.common import LOWER, UPPER, table, work_table
 from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.gif import store_texts, summarize
 from lodestone.llm.html_extract import extract_pages
@@ -58,7 +58,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = summarize(store_texts(table(spark, sf_dir, "documents")))
+    out = summarize(work_table(spark, store_texts(table(spark, sf_dir, "documents")), "media"))
     feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("cs="), "duration_cs"), F.concat(F.lit("hist="), F.array_join(F.col("histogram").cast("array<string>"), ",")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 

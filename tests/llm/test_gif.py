@@ -110,3 +110,13 @@ def test_table(spark):
     assert rows[3].media_sha256 == rows[4].media_sha256
     assert gif.frames(gif.store_texts(docs)).where("doc_id = 3").count() == rows[3].n_frames > 1
     assert gif.summarize(gif.store_texts(docs.limit(0))).count() == 0
+
+
+def test_query_reads_stored_media(spark, monkeypatch):
+    from lodestone.llm import queries
+
+    made, write = [], queries.work_table
+    monkeypatch.setattr(queries, "work_table", lambda spark, df, name: made.append(write(spark, df, name)) or made[-1])
+    out = queries.op6_gif(spark, "/root/testdata/sf0.001")
+    assert "media" in made[0].columns and made[0].count() == out.count()
+    assert set(made[0].inputFiles()) == set(out.inputFiles())
