@@ -28,10 +28,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct `_row` beside columns of our own, whose names can't clash with the caller's then.
+
+    `_row.*` gives the row back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(c.alias(k) for k, c in columns.items()))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
+    """The folder that the driver and all executors share: `spark.checkpoint.dir`.
+
+    Where it is unset a local master gets a temporary folder; a cluster has none that is sure to be shared, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(shared_dir, "fallback", None)
         if root is None:
             root = shared_dir.fallback = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -41,13 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
 def work_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
 
-    The files go when the application ends."""
+    The files go with discard(), or when the application ends."""
     path = f"{shared_dir(spark)}/work-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    there, system = _path(spark, path)
+    system.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove work tables that nothing reads any more: neither an unfinished query nor one that a lost executor may repeat."""
+    for df in tables:
+        path = getattr(df, "_work_path", None)
+        if path:
+            there, system = _path(df.sparkSession, path)
+            system.delete(there, True)
 
 
 def small_enough(df: DataFrame, most: int) -> bool:
