@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
+import time
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +17,7 @@ from pyspark.sql import types as T
 
 from lodestone import schema as S
 from lodestone.functions import text as tx
-from lodestone.functions.highlight import find_highlights
+from lodestone.functions.highlight import mark
 from lodestone.operators import embed as em
 from lodestone.operators import fulltext as ft
 from lodestone.operators import hybrid as hy
@@ -25,17 +29,21 @@ from lodestone.sources import scan as sc
 from lodestone.store import Store, deterministic_id
 
 STATS = "n long, avgdl double"
-PARSED = "path string, ordinal int, name string, kind string, language string, context_before array<int>, context_after array<int>, byte_range struct<start:int,end:int>, coordinates struct<start:struct<row:int,col:int>,end:struct<row:int,col:int>>, content string, rendered string"
+PARSED = "path string, ordinal int, name string, kind string, language string, context_before array<int>, context_after array<int>, byte_range struct<start:int,end:int>, coordinates struct<start:struct<row:int,col:int>,end:struct<row:int,col:int>>, content string, rendered string, content_sha256 string"
+#: Paths that one refresh looks up by name; more are found by listing the tree.
+NAMED_PATHS = 10_000
 
 
-def _render(path: str, lines: list[str], row: dict) -> str:
+def render_lines(path: str, lines: list[str], row: dict) -> str:
+    """What functions.text.render() gives with its defaults, of a text that is split already."""
     out = [path, "", *(lines[i] for i in row["context_before"] if i < len(lines))]
     a, b = row["coordinates"]["start"]["row"], row["coordinates"]["end"]["row"]
     return "\n".join([*out, *lines[a : b + 1]])
 
 
 def parse_files(scanned: DataFrame) -> DataFrame:
-    """(path, content) to one row per object, with its decoded bytes and what is embedded."""
+    """(path, content) to one row per object, with its decoded bytes, what is embedded, and the hash of that."""
+    names = [c.split()[0] for c in re.split(r", (?=\w+ )", PARSED)]
 
     def run(parts):
         for pdf in parts:
@@ -44,9 +52,9 @@ def parse_files(scanned: DataFrame) -> DataFrame:
                 raw = bytes(raw)
                 lines = decode(raw).split("\n")
                 for i, o in enumerate(parse(path, raw)):
-                    body = decode(raw[o["byte_range"]["start"] : o["byte_range"]["end"]])
-                    rows.append({"path": path, "ordinal": i, **o, "content": body, "rendered": _render(path, lines, o)})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("path", "ordinal", "name", "kind", "language", "context_before", "context_after", "byte_range", "coordinates", "content", "rendered")])
+                    body, shown = decode(raw[o["byte_range"]["start"] : o["byte_range"]["end"]]), render_lines(path, lines, o)
+                    rows.append({"path": path, "ordinal": i, **o, "content": body, "rendered": shown, "content_sha256": hashlib.sha256(shown.encode()).hexdigest()})
+            yield pd.DataFrame(rows, columns=names)
 
     return scanned.select("path", "content").mapInPandas(run, PARSED)
 
@@ -57,7 +65,17 @@ class Index:
         self.store = Store(spark, path or os.path.join(self.root, ".lodestone"))
         self.embedder, self.reranker = embedder or em.HashedTrigrams(), reranker
         self.cache: dict = {}
-        self.stats = {"refreshes": 0, "searches": 0, "cache_hits": 0, "embedded": 0}
+        #: Counters, and seconds by what they were spent on.
+        self.stats = {"refreshes": 0, "searches": 0, "cache_hits": 0, "embedded": 0, "skipped": 0, "files_read": 0}
+        self.times: dict[str, float] = {}
+
+    @contextmanager
+    def timed(self, what: str):
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.times[what] = self.times.get(what, 0.0) + time.perf_counter() - began
 
     @property
     def files(self) -> DataFrame:
@@ -75,66 +93,90 @@ class Index:
     def postings(self) -> DataFrame:
         return self.store.read("posting", S.POSTING)
 
-    def refresh(self, paths: Iterable[str] | None = None) -> dict[str, int]:
-        """Bring the index up to date with the tree, or with some relative paths of it; counts of changes by kind."""
-        total = paths is None
-        listed = sc.list_files(self.spark, self.root)
-        stored = self.files
-        if not total:
-            some = self.spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
-            listed, gone = listed.join(F.broadcast(some), "path", "left_semi"), some
+    def _listed(self, paths: set[str] | None) -> DataFrame:
+        """The listing of the tree, or of some paths of it, fixed by a written table: all that follows sees one state."""
+        if paths is not None and len(paths) <= NAMED_PATHS:
+            listed = self.spark.createDataFrame(sc.look(self.root, paths), sc.LISTING)
+        else:
+            listed = sc.list_files(self.spark, self.root)
+        return self.store.scratch(listed, "listed")
+
+    def refresh(self, paths: Iterable[str] | None = None, rebuild_vectors: bool = False) -> dict[str, int]:
+        """Bring the index up to date with the tree, or with some relative paths of it; counts of changes by kind.
+
+        `rebuild_vectors` forgets the cached vectors and embeds all texts anew. On a failure the index stays as it was."""
+        with self.timed("refresh"):
+            try:
+                return self._refresh(None if paths is None else set(paths), rebuild_vectors)
+            finally:
+                self.store.drop_scratch()
+
+    def _refresh(self, paths: set[str] | None, rebuild_vectors: bool) -> dict[str, int]:
+        listed, stored = self._listed(paths), self.files
+        if paths is not None:
+            named = self.store.scratch(self.spark.createDataFrame([(p,) for p in sorted(paths)], "path string"), "named")
+            listed, stored_part = listed.join(named, "path", "left_semi"), stored.join(named, "path", "left_semi")
+        else:
+            stored_part = stored
+        # the bytes of new and altered files are read once
         stale = sn.stale_by_metadata(stored, listed)
-        # the bytes of new and altered files only; they are read once and used by all that follows
-        read = sc.read_contents(stale, self.root).withColumn("sha256_digest", F.unhex(F.sha2("content", 256))).persist()
-        try:
-            now = read.drop("content").unionByName(listed.join(read.select("path"), "path", "left_anti").join(stored.select("path", "sha256_digest"), "path"))
-            if not total:
-                stored_part = stored.join(F.broadcast(gone), "path", "left_semi")
-                change = sn.changes(stored_part, now)
-            else:
-                change = sn.changes(stored, now)
-            change = change.persist()
-            counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
-            if set(counts) <= {"same"} and self.store.generation is not None:
-                return counts
-            altered = change.where("change in ('new', 'changed')").select("path")
-            replaced = change.where("change in ('new', 'changed', 'deleted')").select("path")
-            fresh = sc.text_files(read.join(altered, "path", "left_semi"))
-            parsed = parse_files(fresh).withColumn("id", deterministic_id()).persist()
-            # a file that has become binary loses its objects and its row
-            files = sn.delete(sn.delete(stored, replaced), read).unionByName(sc.text_files(read).select(*S.FILE.names))
-            objects = sn.delete(self.objects, replaced).unionByName(parsed.select(*S.OBJECT.names))
-            requests = em.within_limit(parsed.withColumn("content_sha256", tx.content_hash(F.col("rendered"))))
-            requests = sn.embedding_requests(requests, self.embeddings, self.embedder.name)
-            made = em.embed(requests, self.embedder).withColumn("model", F.lit(self.embedder.name))
-            embeddings = self.embeddings.unionByName(made)
-            old = self.objects.join(replaced, "path", "left_semi").select(F.col("id").alias("object_id"))
-            posted = self.postings.join(old, "object_id", "left_anti").unionByName(ft.postings(parsed))
-            objects = objects.withColumn("_dl", ft.row_length())
-            stats = objects.agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"))
-            self.store.publish({"file": files, "object": objects.drop("_dl"), "embedding": embeddings, "posting": posted, "stats": stats})
-            self.cache.clear()
-            self.stats["refreshes"] += 1
-            parsed.unpersist()
-            change.unpersist()
+        read = self.store.scratch(sc.read_contents(stale, self.root).withColumn("sha256_digest", F.unhex(F.sha2("content", 256))), "read")
+        now = read.drop("content").unionByName(listed.join(read.select("path"), "path", "left_anti").join(stored.select("path", "sha256_digest"), "path"))
+        change = self.store.scratch(sn.changes(stored_part, now), "change")
+        counts = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
+        if set(counts) <= {"same"} and self.store.generation is not None and not rebuild_vectors:
             return counts
-        finally:
-            read.unpersist()
+        altered = change.where("change in ('new', 'changed')").select("path")
+        replaced = change.where("change in ('new', 'changed', 'deleted')").select("path")
+        fresh = sc.text_files(read.join(altered, "path", "left_semi"))
+        parsed = self.store.scratch(parse_files(fresh).withColumn("id", deterministic_id()), "parsed")
+        # a file that has become binary loses its objects and its row
+        files = sn.delete(sn.delete(stored, replaced), read).unionByName(sc.text_files(read).select(*S.FILE.names))
+        objects = sn.delete(self.objects, replaced).unionByName(parsed.select(*S.OBJECT.names))
+        if rebuild_vectors:
+            known = self.embeddings.where(F.col("model") != self.embedder.name)
+            requests = self._rendered(objects)
+        else:
+            known, requests = self.embeddings, parsed.select("content_sha256", "rendered")
+        taken = em.within_limit(requests)
+        wanted = self.store.scratch(sn.embedding_requests(taken, known, self.embedder.name), "wanted")
+        made = em.embed(wanted, self.embedder).withColumn("model", F.lit(self.embedder.name))
+        self.stats["embedded"] += wanted.count()
+        self.stats["skipped"] += requests.count() - taken.count()
+        self.stats["files_read"] += read.count()
+        # vectors that no object has any more go with the generation
+        embeddings = known.unionByName(made).join(objects.select("content_sha256"), "content_sha256", "left_semi")
+        old = self.objects.join(replaced, "path", "left_semi").select(F.col("id").alias("object_id"))
+        posted = self.postings.join(old, "object_id", "left_anti").unionByName(ft.postings(parsed))
+        stats = objects.agg(F.count("*").alias("n"), F.avg(ft.row_length()).alias("avgdl"))
+        self.store.publish({"file": files, "object": objects, "embedding": embeddings, "posting": posted, "stats": stats})
+        self.cache.clear()
+        self.stats["refreshes"] += 1
+        return counts
 
     def vectors(self) -> DataFrame:
-        """(object_id, data) by the hash of each object's rendered text."""
-        rendered = self._rendered().select(F.col("id").alias("object_id"), tx.content_hash(F.col("rendered")).alias("content_sha256"))
-        return rendered.join(self.embeddings.where(F.col("model") == self.embedder.name), "content_sha256").select("object_id", "data")
+        """(object_id, data): each object's vector, found by the stored hash of its rendered text; nothing is rendered for it."""
+        mine = self.embeddings.where(F.col("model") == self.embedder.name).select("content_sha256", "data")
+        return self.objects.select(F.col("id").alias("object_id"), "content_sha256").join(mine, "content_sha256").select("object_id", "data")
 
-    def _rendered(self) -> DataFrame:
-        """Objects with their rendered text, cut from the file object's content."""
-        whole = self.objects.where("kind = 'file'").select("path", F.col("content").alias("_text"))
+    def _rendered(self, objects: DataFrame) -> DataFrame:
+        """(content_sha256, rendered): objects' texts, cut from the file object's content."""
+        whole = objects.where("kind = 'file'").select("path", F.col("content").alias("_text"))
         text = tx.render(F.col("path"), F.col("_text"), F.col("context_before"), F.col("coordinates"))
-        return self.objects.join(whole, "path").withColumn("rendered", text).drop("_text")
+        return objects.join(whole, "path").select("content_sha256", text.alias("rendered"))
 
     def search(self, options: SearchOptions | str) -> DataFrame:
         """Merged hits with their objects, ordered; at most twice top_k rows."""
         o = SearchOptions(options) if isinstance(options, str) else options
+        if o.refresh or o.rebuild_vectors:
+            self.refresh(rebuild_vectors=o.rebuild_vectors)
+        with self.timed("search"):
+            out = self._search(o)
+        if o.stats:
+            print(self.dump_stats())
+        return out
+
+    def _search(self, o: SearchOptions) -> DataFrame:
         key = (o, self.store.generation)
         self.stats["searches"] += 1
         if key in self.cache:
@@ -158,8 +200,6 @@ class Index:
 
     def render(self, options: SearchOptions | str) -> list[dict]:
         """Hits whose file is still what was indexed, with text, highlight spans and highlighted lines."""
-        import hashlib
-
         o = SearchOptions(options) if isinstance(options, str) else options
         query, out = Query.parse(o.query), []
         for r in self.search(o).collect():
@@ -171,13 +211,15 @@ class Index:
             if r["sha256_digest"] is None or bytes(r["sha256_digest"]) != hashlib.sha256(raw).digest():
                 continue
             row = r.asDict(recursive=True)
-            text = _render(r["path"], decode(raw).split("\n"), row)
-            spans, lines = find_highlights(query, text)
-            out.append(row | {"rendered": text, "highlights": spans, "highlighted_lines": sorted({x for p in lines for x in p})})
+            text = render_lines(r["path"], decode(raw).split("\n"), row)
+            marks = mark(query.terms, text)
+            out.append(row | {"rendered": text, "highlights": marks.spans, "highlighted_lines": marks.marked_lines})
         return out
 
     def counts(self) -> dict[str, int]:
         return {"file": self.files.count(), "object": self.objects.count(), "embedding": self.vectors().count(), "fts": self.postings.select("object_id").distinct().count()}
 
     def dump_stats(self) -> str:
-        return json.dumps(self.stats, sort_keys=True)
+        """The counters, the share of searches answered from the cache, and the seconds spent, as JSON."""
+        rate = self.stats["cache_hits"] / self.stats["searches"] if self.stats["searches"] else 0.0
+        return json.dumps(self.stats | {"cache_rate": round(rate, 4), "seconds": {k: round(v, 3) for k, v in self.times.items()}}, sort_keys=True)

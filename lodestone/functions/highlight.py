@@ -1,9 +1,10 @@
-"""Highlight spans of a query in texts: an Arrow-batched function, and the merge as a window over span rows."""
+"""What a query marks in texts: an Arrow-batched function, and the merge as a window over span rows."""
 
 from __future__ import annotations
 
+import functools
 import re
-from bisect import bisect_right
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,36 +15,63 @@ from lodestone.options import Query
 SPANS = "struct<spans:array<struct<start:int,end:int>>,lines:array<struct<first:int,last:int>>>"
 
 
-def find_spans(terms: tuple[str, ...], text: str) -> list[tuple[int, int]]:
-    """Literal, case-insensitive, per term non-overlapping matches; code-point offsets, in no order."""
-    return [m.span() for t in terms for m in re.finditer(re.escape(t), text, re.IGNORECASE)]
+@dataclass
+class Marks:
+    """Marked code points [start, end) of a text, in order and apart from each other, and the lines each begins and ends on."""
+
+    spans: list[tuple[int, int]] = field(default_factory=list)
+    lines: list[tuple[int, int]] = field(default_factory=list)
+
+    @property
+    def marked_lines(self) -> list[int]:
+        return sorted({n for pair in self.lines for n in pair})
+
+
+@functools.lru_cache(maxsize=256)
+def _matcher(terms: tuple[str, ...]) -> re.Pattern | None:
+    """Stops where any term begins, with a group for each of them: terms may begin at one place and overlap."""
+    if not terms:
+        return None
+    quoted = [re.escape(t) for t in terms]
+    return re.compile(f"(?={'|'.join(quoted)})" + "".join(f"(?=({q})?)" for q in quoted), re.IGNORECASE)
+
+
+def mark(terms: tuple[str, ...], text: str) -> Marks:
+    """Literal matches of the terms, case folded. A term's own matches don't overlap; what overlaps or touches is one span."""
+    matcher, out = _matcher(terms), Marks()
+    if matcher is None:
+        return out
+    free = [0] * len(terms)  # where each term may match again
+    for m in matcher.finditer(text):
+        at = m.start()
+        for i in range(len(terms)):
+            end = m.end(i + 1)
+            if end < 0 or at < free[i]:
+                continue
+            free[i] = end
+            if out.spans and at <= out.spans[-1][1]:
+                out.spans[-1] = (out.spans[-1][0], max(out.spans[-1][1], end))
+            else:
+                out.spans.append((at, end))
+    row = seen = 0
+    for start, end in out.spans:
+        row += text.count("\n", seen, start)
+        last = row + text.count("\n", start, end - 1)
+        out.lines.append((row, last))
+        row, seen = last, end - 1
+    return out
+
+
+def highlight(text: Column, query: Query | str) -> Column:
+    """Spans and lines of each text, as SPANS."""
+    terms = (query if isinstance(query, Query) else Query.parse(query)).terms
 
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching spans as one, in order."""
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [(a, b) for a, b in out]
-
-
-def find_highlights(query: Query, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(merged spans, (first, last) line of each), lines counted from 0 and ended by line feeds."""
-    spans = merge_spans(find_spans(query.terms, text))
-    feeds = [i for i, c in enumerate(text) if c == "\n"]
-    return spans, [(bisect_right(feeds, a), bisect_right(feeds, b - 1)) for a, b in spans]
-
-
-def highlight(text: Column, query: Query) -> Column:
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.DataFrame:
-        found = [find_highlights(query, t or "") for t in texts]
+        found = [mark(terms, t or "") for t in texts]
         return pd.DataFrame({
-            "spans": [[{"start": a, "end": b} for a, b in s] for s, _ in found],
-            "lines": [[{"first": a, "last": b} for a, b in n] for _, n in found],
+            "spans": [[{"start": a, "end": b} for a, b in m.spans] for m in found],
+            "lines": [[{"first": a, "last": b} for a, b in m.lines] for m in found],
         })
 
     return run(text)

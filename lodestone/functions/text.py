@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,20 @@ def is_binary(content: Column) -> Column:
     return F.contains(content, F.lit(bytes([0])))
 
 
-def decode_text(content: Column) -> Column:
-    """UTF-8 where valid, else windows-1252, else ISO-8859-1 where that has no character for a byte."""
+def encoding(content: Column) -> Column:
+    """What bytes are decoded as: UTF-8 where valid, else windows-1252, else ISO-8859-1 where that has no character for a byte."""
     undefined = F.hex(content).rlike("^(?:..)*(?:81|8D|8F|90|9D)")
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).when(~undefined, F.decode(content, "windows-1252")).otherwise(F.decode(content, "ISO-8859-1"))
+    return F.when(F.is_valid_utf8(content.cast("string")), "utf-8").when(~undefined, "windows-1252").otherwise("iso-8859-1")
+
+
+#: The bytes that windows-1252 reads otherwise than ISO-8859-1 does, which is the one of the two that the engine's decode() knows.
+_WINDOWS = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
+def decode_text(content: Column) -> Column:
+    kind, latin = encoding(content), F.decode(content, "ISO-8859-1")
+    windows = F.translate(latin, _WINDOWS.decode("iso-8859-1"), _WINDOWS.decode("windows-1252"))
+    return F.when(kind == "utf-8", content.cast("string")).when(kind == "windows-1252", windows).otherwise(latin)
 
 
 def suffix(path: Column) -> Column:
@@ -80,26 +92,32 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often `use` names it, also inside its own lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def render(path: Column, text: Column, context_before: Column, coordinates: Column, context: bool = True, file: bool = True, line_numbers: bool = False) -> Column:
-    """Optional path header, context lines, then the object's lines; one missing last line is tolerated."""
-    lines = F.split(text, "\r?\n", -1)
+    """Optional path header, context lines, then the object's lines; one missing last line is tolerated. Lines end at line feeds only.
+
+    The text is split once, and the object's lines are a slice of it, so the cost is linear."""
     first, last = coordinates["start"]["row"], coordinates["end"]["row"]
     width = F.char_length((F.greatest(last, F.coalesce(F.array_max(context_before), F.lit(0))) + 1).cast("string"))
 
-    def line(row: Column) -> Column:
-        at = F.get(lines, row)
-        if not line_numbers:
-            return at
-        number = (row + 1).cast("string")
-        return F.concat(F.repeat(F.lit(" "), width - F.char_length(number)), number, F.lit(" "), at)
-
-    parts = []
-    if file:
-        parts.append(F.array(path, F.lit("")))
-    if context:
-        parts.append(F.transform(context_before, line))
-    parts.append(F.transform(F.sequence(first, last), line))
-    return F.array_join(F.filter(F.concat(*parts), lambda x: x.isNotNull()), "\n")
+    def numbered(row: Column, line: Column) -> Column:
+        return F.concat(F.lpad((row + 1).cast("string"), width, " "), F.lit(" "), line) if line_numbers else line
+
+    def parts(lines: Column) -> Column:
+        out = []
+        if file:
+            out.append(F.array(path, F.lit("")))
+        if context:
+            out.append(F.transform(context_before, lambda row: numbered(row, F.get(lines, row))))
+        body = F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(0)))
+        out.append(F.transform(body, lambda line, i: numbered(first + i, line)) if line_numbers else body)
+        return F.array_join(F.concat(*out), "\n")  # lines that aren't there are null and left out
+
+    return with_value(F.split(text, "\n", -1), parts)
 
 
 def label(path: Column, kind: Column, name: Column) -> Column:

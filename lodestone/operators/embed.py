@@ -8,9 +8,10 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.functions.text import TOKEN_LIMIT, token_count
-from pyspark.sql import functions as F
+from lodestone.operators.snapshot import BATCH_REQUESTS, BATCH_TOKENS, Filler
 
 Embedder = Callable[[list[str]], list[list[float]]]
 #: (query, [(id, path, name, kind)]) -> ids, best first; ids left out are filtered.
@@ -45,11 +46,23 @@ def within_limit(requests: DataFrame, text: str = "rendered") -> DataFrame:
     return requests.where((F.length(text) > 0) & (token_count(F.col(text)) <= TOKEN_LIMIT))
 
 
-def embed(requests: DataFrame, embedder: Embedder, text: str = "rendered") -> DataFrame:
-    """(content_sha256, text) to (content_sha256, data), an Arrow batch to a call."""
+def embed(requests: DataFrame, embedder: Embedder, text: str = "rendered", most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """(content_sha256, text) to (content_sha256, data): calls of at most so many requests and tokens, filled in row order per partition."""
+
+    def call(keys: list[str], texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"content_sha256": keys, "data": embedder(texts)})
 
     def run(parts):
+        filler, now, keys, texts = Filler(most_requests, most_tokens), 0, [], []
         for pdf in parts:
-            yield pd.DataFrame({"content_sha256": pdf["content_sha256"], "data": embedder(pdf[text].tolist())})
+            for key, body in zip(pdf["content_sha256"], pdf[text]):
+                batch = filler.put(-(-len(body.encode()) // 4))
+                if batch != now:
+                    yield call(keys, texts)
+                    now, keys, texts = batch, [], []
+                keys.append(key)
+                texts.append(body)
+        if keys:
+            yield call(keys, texts)
 
     return requests.select("content_sha256", text).mapInPandas(run, "content_sha256 string, data array<float>")

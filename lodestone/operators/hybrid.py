@@ -33,9 +33,11 @@ def ordered(merged: DataFrame) -> DataFrame:
 
 
 def rerank(results: DataFrame, order: DataFrame) -> DataFrame:
-    """results (id, ...) filtered and reordered by (position, id): unknown ids drop, repeated ones count once."""
+    """results (id, ...) filtered and reordered by (position, id): unknown ids drop, repeated ones count once.
+
+    The join is left to the planner, as an answer's length isn't known."""
     first = order.groupBy("id").agg(F.min("position").alias("position"))
-    return results.join(F.broadcast(first), "id").orderBy("position")
+    return results.join(first, "id").orderBy("position")
 
 
 def answer_order(answers: DataFrame, answer: str = "answer") -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,29 +58,35 @@ def reuse_vectors(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(first, "content_sha256", "left")
 
 
-def fill_batches(sizes: Iterator[int], requests: int = BATCH_REQUESTS, tokens: int = BATCH_TOKENS) -> Iterator[int]:
-    """The batch number of each request in turn: a batch closes when it is full or the next one would overfill it."""
-    batch = count = total = 0
-    for n in sizes:
-        if count and (count >= requests or total + n > tokens):
-            batch, count, total = batch + 1, 0, 0
-        count, total = count + 1, total + n
-        yield batch
+class Filler:
+    """Numbers requests by batch: a batch closes when it is full or the next request would overfill it."""
 
+    def __init__(self, most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS):
+        self.most_requests, self.most_tokens = most_requests, most_tokens
+        self.batch = self.count = self.total = 0
 
-def token_batches(requests: DataFrame, tokens: str = "tokens", most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """The rows with `batch`, numbered within their partition in row order: each partition fills its own batches."""
+    def put(self, tokens: int) -> int:
+        if self.count and (self.count >= self.most_requests or self.total + tokens > self.most_tokens):
+            self.batch, self.count, self.total = self.batch + 1, 0, 0
+        self.count, self.total = self.count + 1, self.total + int(tokens)
+        return self.batch
+
+
+def fill_batches(sizes: Iterable[int], most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS) -> Iterator[int]:
+    filler = Filler(most_requests, most_tokens)
+    return map(filler.put, sizes)
+
+
+def token_batches(requests: DataFrame, key: str, tokens: str = "tokens", groups: int = 16, most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """The rows with `lane` and `batch`. A request's lane is a hash of its key, so batches don't depend on how rows are partitioned; each
+    lane fills its batches on its own, in key order."""
+    lane = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+    dealt = requests.withColumn("lane", lane).repartition("lane").sortWithinPartitions("lane", key)
 
     def run(parts):
-        count = total = batch = 0
+        lanes: dict[int, Filler] = {}
         for pdf in parts:
-            numbers = []
-            for n in pdf[tokens]:
-                if count and (count >= most_requests or total + n > most_tokens):
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + int(n)
-                numbers.append(batch)
-            yield pdf.assign(batch=pd.Series(numbers, index=pdf.index, dtype="int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", batch long"
-    return requests.mapInPandas(run, schema)
+            yield pdf.assign(batch=[lanes.setdefault(a, Filler(most_requests, most_tokens)).put(n) for a, n in zip(pdf["lane"], pdf[tokens])])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", batch long"
+    return dealt.mapInPandas(run, schema)

@@ -369,21 +369,21 @@ def _c_first(r: Reader, name: int) -> int:
 
 def _in_function(r: Reader, i: int) -> bool:
     """Whether token i is inside a body that follows a parameter list."""
-    at = r.t[i].start
-    spans = r.__dict__.setdefault("_fn", [
-        (x.start, r.t[x.match].end) for k, x in enumerate(r.t)
-        if x.text == "{" and x.match > k and (r.text(k - 1) == ")" or r.is_word(k - 1) and r.text(k - 1) in ("const", "override", "noexcept", "final") and ")" in (r.text(k - 2), r.text(k - 3)))
-    ])
-    return any(a < at < b for a, b in spans)
+    inside = r.__dict__.get("_fn")
+    if inside is None:
+        inside, until = [], -1
+        for k, x in enumerate(r.t):
+            inside.append(k < until)
+            if x.text == "{" and x.match > k and (r.text(k - 1) == ")" or r.is_word(k - 1) and r.text(k - 1) in ("const", "override", "noexcept", "final") and ")" in (r.text(k - 2), r.text(k - 3))):
+                until = max(until, x.match)
+        r.__dict__["_fn"] = inside
+    return inside[i]
 
 
 def javascript(r: Reader) -> None:
     t, typed = r.t, r.language != "javascript"
-    top = [True] * len(t)
-    for i, x in enumerate(t):
-        if x.kind == "op" and x.text in "([{" and x.match > i:
-            for k in range(i + 1, x.match):
-                top[k] = False
+    inner = _innermost(r, "([{")
+    block, top = _innermost(r, "{"), [a < 0 for a in inner]
     blocks = [(i, x.match) for i, x in enumerate(t) if x.text == "{" and x.kind == "op" and x.match > i]
 
     def arrow(i: int) -> int:
@@ -479,7 +479,7 @@ def javascript(r: Reader) -> None:
             j = i - 1
             while r.text(j - 1) == "." and r.is_word(j - 2):
                 j -= 2
-            if r.text(j - 1) not in ("const", "let", "var", ",", ":", "|", "&", "#") and not any(_class_body(r, a) and a < i < b and not any(a < c < i < d < b for c, d in blocks) for a, b in blocks):
+            if r.text(j - 1) not in ("const", "let", "var", ",", ":", "|", "&", "#") and not (block[i] >= 0 and _class_body(r, block[i])):
                 r.add(r.text(i - 1), "definition.function", j, expression_end(i + 1), scope=False)
     for a, b in blocks:
         kind = _class_body(r, a)
@@ -513,6 +513,18 @@ def javascript(r: Reader) -> None:
             j = (r.close(k) if r.text(k) in "({" and t[k].match > k else k) + 1
 
 
+def _innermost(r: Reader, kinds: str) -> list[int]:
+    """For each token the closed bracket of one of the kinds that opens last around it, or -1."""
+    out, open_ = [], []
+    for i, x in enumerate(r.t):
+        while open_ and r.t[open_[-1]].match <= i:
+            open_.pop()
+        out.append(open_[-1] if open_ else -1)
+        if x.kind == "op" and x.text in kinds and x.match > i:
+            open_.append(i)
+    return out
+
+
 def _class_body(r: Reader, brace: int) -> str:
     """The keyword of the class or interface whose body opens at the brace, or nothing."""
     j = brace - 1

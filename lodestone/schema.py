@@ -24,6 +24,7 @@ OBJECT = T.StructType([
     T.StructField("byte_range", SPAN),
     T.StructField("coordinates", COORDINATES),
     T.StructField("content", T.StringType()),
+    T.StructField("content_sha256", T.StringType()),  # of the rendered text, by which vectors are found
 ])
 EMBEDDING = T.StructType([
     T.StructField("content_sha256", T.StringType(), False),

@@ -22,54 +22,64 @@ class Rule:
     anchored: bool
 
 
-def _glob(pattern: str) -> str:
-    """The pattern's regular expression: `*` and `?` stay within a path element, `**` doesn't."""
-    token = re.compile(r"(?P<deep>\*\*/?)|(?P<star>\*)|(?P<one>\?)|\[(?P<set>[!^]?\]?[^\]]*)\]|(?P<escaped>\\.)|(?P<plain>.)", re.S)
-
-    def one(m: re.Match) -> str:
-        if m["deep"]:
-            return "(?:.*/)?" if m["deep"].endswith("/") else ".*"
-        if m["star"]:
-            return "[^/]*"
-        if m["one"]:
-            return "[^/]"
-        if m["set"] is not None:
-            body, flip = m["set"], ""
-            if body[:1] == "!":
-                body, flip = body[1:], "^"
-            body = re.sub(r"([\\\[\]^&~|])", r"\\\1", body.replace("/", ""))
-            return f"[{flip}{body}]" if body else re.escape(m[0])
-        if m["escaped"]:
-            return re.escape(m["escaped"][1])
-        return re.escape(m["plain"])
-
-    return token.sub(one, pattern)
+#: One element of a pattern's path segment: a set, an escape, a star, a question mark, any other letter.
+_PIECE = re.compile(r"\[([!^]?\]?[^\]/]*)\]|\\(.)|(\*+)|(\?)|(.)", re.S)
+
+
+def _segment(text: str) -> str:
+    """The regular expression of one path segment; nothing in it matches a slash."""
+    out = []
+    for members, escaped, star, one, plain in _PIECE.findall(text):
+        if members:
+            flip, listed = ("^/", members[1:]) if members[0] in "!^" else ("", members)
+            listed = re.sub(r"([\\\[\]^&~|])", r"\\\1", listed)
+            out.append(f"[{flip}{listed}]" if listed else re.escape(f"[{members}]"))
+        elif star:
+            out.append("[^/]*")
+        elif one:
+            out.append("[^/]")
+        else:
+            out.append(re.escape(escaped or plain))
+    return "".join(out)
+
+
+def _without_trailing_blanks(text: str) -> str:
+    """Blanks at the end don't count, but for one behind a backslash."""
+    end = len(text)
+    while end and text[end - 1] == " " and not text[: end - 1].endswith("\\"):
+        end -= 1
+    return text[:end]
 
 
 def parse_rule(line: str) -> Rule | None:
-    """The rule of a line; comments, blank lines and a lone slash have none."""
+    """The rule of a line; comments, blank lines and lone slashes have none.
+
+    A pattern is read segment by segment: a slash before its end ties it to the rule's directory, one at its end to
+    directories, and a segment of two stars stands for any number of directories."""
     text = line.rstrip("\n")
-    if not text.strip() or text.startswith("#"):
+    if text[:1] == "#" or text.isspace():
         return None
-    negated = text.startswith("!")
-    body = text[negated:]
-    # trailing blanks don't count unless they are escaped
-    kept = re.match(r"(.*?(?:\\ )*) *\Z", body, re.S)[1].replace("\\ ", " ")
-    if kept.rstrip() in ("", "/"):
+    negated = text[:1] == "!"
+    segments = _without_trailing_blanks(text.removeprefix("!")).split("/")
+    if not any(x.strip() for x in segments):
         return None
-    # runs of stars mean more than one star only as a path element of their own
-    kept = re.sub(r"(?<=[^/])\*{2,}|\*{2,}(?=[^/*])", "*", kept)
-    directory_only = kept.endswith("/")
-    core = kept[:-1] if directory_only else kept
-    anchored = "/" in core
-    core = core.removeprefix("/")
-    if core.startswith("**"):
-        core, anchored = core.lstrip("*").removeprefix("/"), False
-    if not core:
-        core, anchored = "*", False
-    head = "^" if anchored else "(?:^|/)"
-    tail = "$" if not directory_only else "/$" if negated else "(?:$|/)"
-    return Rule(text, head + _glob(core) + tail, negated, directory_only, anchored)
+    directory_only = segments[-1] == ""
+    if directory_only:
+        segments.pop()
+    anchored = len(segments) > 1
+    if segments[0] == "":
+        segments.pop(0)
+    deep = lambda x: len(x) > 1 and not x.strip("*")
+    if segments and deep(segments[0]):  # any depth below the directory: as good as no anchor
+        segments, anchored = segments[1:] or ["*"], False
+    out, last = [], len(segments) - 1
+    for i, x in enumerate(segments):
+        if deep(x):
+            out.append(".*" if i == last else "(?:.*/)?")
+        else:
+            out.append(_segment(x) + ("/" if i < last else ""))
+    tail = ("/$" if negated else "(?:$|/)") if directory_only else "$"
+    return Rule(text, ("^" if anchored else "(?:^|/)") + "".join(out) + tail, negated, directory_only, anchored)
 
 
 def parse_rules(text: str) -> tuple[Rule, ...]:

@@ -6,7 +6,8 @@ read by executors. On a cluster the tree must be mounted on all of them."""
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import stat
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,31 @@ def walk(root: str | os.PathLike) -> Iterator[tuple[str, int, int]]:
                 yield path, s.st_size, s.st_mtime_ns
 
 
+def look(root: str | os.PathLike, paths: Iterable[str]) -> list[tuple[str, int, int]]:
+    """What walk() would yield of some relative paths: only they and the rules of the directories above them are read."""
+    tree, known, out = IgnoreTree(), set(), []
+    for path in sorted(set(paths)):
+        parts = path.split("/")
+        above = ["/".join(parts[:i]) for i in range(len(parts))]
+        if any(x in ("", ".", "..") for x in parts) or parts[0] in PRUNED or any(x.startswith(".") for x in parts[:-1]):
+            continue
+        if any(os.path.islink(os.path.join(root, *parts[:i])) for i in range(1, len(parts) + 1)):
+            continue
+        for directory in above:
+            if directory not in known:
+                known.add(directory)
+                rules = Path(root, directory, IGNORE_FILE)
+                if rules.is_file() and not rules.is_symlink():
+                    tree.add(directory, rules.read_text(encoding="utf-8", errors="replace"))
+        try:
+            s = os.stat(os.path.join(root, path), follow_symlinks=False)
+        except (FileNotFoundError, NotADirectoryError, PermissionError):
+            continue
+        if stat.S_ISREG(s.st_mode) and not tree.hides(path):
+            out.append((path, s.st_size, s.st_mtime_ns))
+    return out
+
+
 class TreeReader(DataSourceReader):
     """Lists on the driver, reads on the executors, `files` of them a partition."""
 

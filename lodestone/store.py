@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 TABLES = ("file", "object", "embedding", "posting", "stats")
 
 
@@ -33,7 +33,17 @@ class Store:
         m = self.manifest
         if m and m["schema_version"] > SCHEMA_VERSION:
             raise ValueError(f"the index has schema version {m['schema_version']}, newer than {SCHEMA_VERSION}")
-        return m and m["generation"] if m and m["schema_version"] == SCHEMA_VERSION else None
+        # what an older version stored is built anew: all of it derives from the tree
+        return m["generation"] if m and m["schema_version"] == SCHEMA_VERSION else None
+
+    def scratch(self, df: DataFrame, name: str) -> DataFrame:
+        """df written beside the generations and read back: one evaluation, which lost executors can read again."""
+        path = self.path / "scratch" / f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(str(path))
+        return self.spark.read.schema(df.schema).parquet(str(path))
+
+    def drop_scratch(self) -> None:
+        shutil.rmtree(self.path / "scratch", ignore_errors=True)
 
     def read(self, name: str, schema) -> DataFrame:
         g = self.generation
@@ -47,8 +57,8 @@ class Store:
         try:
             for name in TABLES:
                 df = tables[name]
-                if name == "posting":  # grams side by side, so that a search reads few row groups
-                    df = df.repartitionByRange("gram").sortWithinPartitions("gram", "object_id")
+                if name == "posting":  # grams side by side, so that a search reads few row groups; the id deals a common gram over tasks
+                    df = df.repartitionByRange("gram", "object_id").sortWithinPartitions("gram", "object_id")
                 elif name in ("file", "object"):
                     df = df.sortWithinPartitions("path")
                 df.write.parquet(str(self.path / g / name))

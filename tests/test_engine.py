@@ -1,17 +1,23 @@
+import json
 import os
+import random
 import sqlite3
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.api import Index
-from lodestone.functions.highlight import find_highlights
+from lodestone.functions import text as tx
+from lodestone.functions.highlight import highlight, highlighted_lines, mark
 from lodestone.operators import fulltext as ft
 from lodestone.operators import vector as vc
+from lodestone.operators import embed as em
+from lodestone.operators import snapshot as sn
 from lodestone.operators.snapshot import fill_batches
-from lodestone.options import Query, SearchOptions, match_phrases
+from lodestone.options import Query, SearchOptions, match_phrases, searchable
 from lodestone.sources.ignore import IgnoreTree, opinion, parse_rules
-from lodestone.sources.scan import find_root, scan, walk
+from lodestone.sources.scan import find_root, look, scan, walk
 from lodestone.sources.settings import Settings
 from lodestone.streaming import changes as ch
 
@@ -50,7 +56,7 @@ def test_root(tmp_path):
 @pytest.mark.parametrize("rules,path,want", [
     ("*.py", "a/b.py", True), ("*.py", "a.pyc", None), ("/a.py", "b/a.py", None), ("/a.py", "a.py", True), ("a/b", "x/a/b", None), ("a/b", "a/b", True),
     ("**/c", "a/b/c", True), ("a/**/c", "a/c", True), ("a/**/c", "a/x/y/c", True), ("build/", "build/x", True), ("build/", "src/build/x", True), ("*.py\n!k.py", "k.py", False),
-    ("!k.py\n*.py", "k.py", True), ("#x", "#x", None), ("\\#x", "#x", True), ("a?c", "abc", True), ("a?c", "a/c", None), ("[ab].c", "b.c", True), ("[!ab].c", "b.c", None),
+    ("!k.py\n*.py", "k.py", True), ("doc/**", "doc/a/b", True), ("doc/**", "doc", None), ("**", "any/where", True), ("a\\*b", "a*b", True), ("a\\*b", "axb", None), ("[a/b]c", "ac", None), ("x\\ ", "x ", True), ("![", "[", False), ("/d/", "x/d/y", None), ("**/m/n", "q/m/n", True), ("#x", "#x", None), ("\\#x", "#x", True), ("a?c", "abc", True), ("a?c", "a/c", None), ("[ab].c", "b.c", True), ("[!ab].c", "b.c", None),
     ("[!ab].c", "d.c", True), ("x ", "x", True), ("/", "a", None), ("foo*/bar", "foox/bar", True), ("a**b", "axxb", True), ("[x", "[x", True),
 ])
 def test_rules(rules, path, want):
@@ -80,7 +86,8 @@ def test_query_parse_is_quick():
 
 
 def test_match_phrases():
-    assert match_phrases('print("x y") of') == ["print(", "x y"] or match_phrases('print("x y") of')
+    assert match_phrases('print("x y") of') == ["print(", "x y"] and match_phrases('a "two\nlines" b') == ["two", "lines"]
+    assert searchable(" abc ") and not searchable("ab ")
     assert match_phrases('"of the" Tion') == ["of the", "tion"] and match_phrases("a of") == [] and match_phrases('"open') == ["open"]
 
 
@@ -89,7 +96,31 @@ def test_match_phrases():
     ("one two", "\none\ntwo", [(1, 4), (5, 8)], [(1, 1), (2, 2)]), ("HeLLo", "hello HELLO", [(0, 5), (6, 11)], [(0, 0)] * 2), ("hell ello", "hello", [(0, 5)], [(0, 0)]), ("ere", "erered", [(0, 3)], [(0, 0)]),
 ])
 def test_highlights(query, text, spans, lines):
-    assert find_highlights(Query.parse(query), text) == (spans, lines)
+    marks = mark(Query.parse(query).terms, text)
+    assert (marks.spans, marks.lines) == (spans, lines)
+
+
+def test_marks_equal_a_plain_search():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice("abAB\n ") for _ in range(r.randrange(60)))
+        terms = tuple("".join(r.choice("ab ") for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(1, 4)))
+        hit = [False] * len(text)
+        for t in terms:
+            at = 0
+            while (at := text.lower().find(t, at)) >= 0:
+                hit[at : at + len(t)] = [True] * len(t)
+                at += len(t)
+        m = mark(terms, text)
+        covered = [any(a <= i < b for a, b in m.spans) for i in range(len(text))]
+        assert covered == hit and all(a < b for a, b in m.spans) and all(x[1] < y[0] for x, y in zip(m.spans, m.spans[1:]))
+        assert m.lines == [(text[:a].count("\n"), text[: b - 1].count("\n")) for a, b in m.spans]
+
+
+def test_highlight_column(spark):
+    rows = spark.createDataFrame([(1, "Of the nation"), (2, None), (3, "x\nOF THE")], "id long, text string")
+    got = {r.id: r for r in rows.select("id", highlight(F.col("text"), '"of the" tion').alias("h")).select("id", "h.*", highlighted_lines(F.col("h.lines")).alias("n")).collect()}
+    assert [tuple(x) for x in got[1].spans] == [(0, 6), (9, 13)] and got[2].spans == [] and got[3].n == [1]
 
 
 def test_ranking_agrees_with_sqlite(spark):
@@ -115,11 +146,148 @@ def test_batches():
     assert list(fill_batches([5, 5, 5, 20, 1], 2, 12)) == [0, 0, 1, 2, 3]
 
 
+def test_batches_of_a_table_do_not_depend_on_its_partitions(spark):
+    rows = spark.range(500).selectExpr("id", "1 + id % 9 AS tokens")
+    got = [sorted(map(tuple, sn.token_batches(x, "id", groups=3, most_requests=20, most_tokens=60).collect())) for x in (rows.repartition(1), rows.repartition(7))]
+    assert got[0] == got[1]
+    for lane in range(3):
+        mine = [r for r in got[0] if r[2] == lane]
+        assert [r[3] for r in mine] == list(fill_batches([r[1] for r in mine], 20, 60))
+
+
+def test_embedding_calls_are_bounded(spark):
+    def embedder(texts):
+        return [[float(len(texts)), float(sum(len(t) for t in texts))]] * len(texts)
+
+    rows = spark.range(100).selectExpr("cast(id AS string) AS content_sha256", "repeat('x', 40) AS rendered").coalesce(1)
+    got = em.embed(rows, embedder, most_requests=8, most_tokens=60).collect()
+    assert len(got) == 100 and max(r.data[0] for r in got) == 6 and em.embed(rows.limit(0), embedder).count() == 0
+
+
+def test_render_equals_a_plain_cut(spark):
+    text = "a\r\nb\n\nd\ne"
+    point = "named_struct('row', {}, 'col', 0)".format
+    rows = spark.createDataFrame([(text,)], "t string").selectExpr("t", f"named_struct('start', {point(1)}, 'end', {point(9)}) AS c", "array(0, 7) AS before")
+    out = rows.select(tx.render(F.lit("p"), F.col("t"), F.col("before"), F.col("c")), tx.render(F.lit("p"), F.col("t"), F.col("before"), F.col("c"), file=False, line_numbers=True)).first()
+    assert out[0] == "p\n\na\r\nb\n\nd\ne" and out[1] == " 1 a\r\n 2 b\n 3 \n 4 d\n 5 e"
+
+
+def test_render_is_linear(spark):
+    def took(n):
+        rows = spark.range(1).selectExpr(f"array_join(transform(sequence(1, {n}), x -> 'line'), chr(10)) AS t", f"named_struct('start', named_struct('row', 0, 'col', 0), 'end', named_struct('row', {n}, 'col', 0)) AS c")
+        began = time.perf_counter()
+        rows.select(tx.render(F.lit("p"), F.col("t"), F.array().cast("array<int>"), F.col("c")).alias("r")).selectExpr("length(r)").collect()
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(64_000) < 5
+
+
+@pytest.mark.parametrize("raw,text,kind", [(b"abc", "abc", "utf-8"), ("ü€".encode(), "ü€", "utf-8"), (b"\xfc\x80", "ü€", "windows-1252"), (b"\xfc\x81", "ü\x81", "iso-8859-1"), (b"", "", "utf-8")])
+def test_decoding(spark, raw, text, kind):
+    from lodestone.parsing.objects import decode
+
+    got = spark.createDataFrame([(bytearray(raw),)], "b binary").select(tx.decode_text(F.col("b")), tx.encoding(F.col("b"))).first()
+    assert tuple(got) == (text, kind) and decode(raw) == text
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(tx.relative_path(F.lit("/r/a/b"), "/r/"), tx.relative_path(F.lit("/x/a"), "/r"), tx.byte_length(F.struct(F.lit(3).alias("start"), F.lit(9).alias("end")))).first()
+    assert tuple(row) == ("a/b", "/x/a", 6)
+    assert vc.unpack_vector(vc.pack_vector([1.0, -2.5])) == [1.0, -2.5]
+
+
+def test_look_agrees_with_walk(tmp_path):
+    root = make(tmp_path, NESTED)
+    every = [*NESTED, "gone.py", "../x", "app", ".git/config", ""]
+    assert sorted(look(root, every)) == sorted(walk(root))
+
+
+def test_crlf_files_have_vectors(spark, tmp_path):
+    root = make(tmp_path, {"dos.py": "def dos():\r\n    return 1\r\n", "unix.py": "def unix():\n    return 1\n"})
+    index = Index(spark, root)
+    index.refresh()
+    n = index.objects.count()
+    assert index.vectors().count() == n == 4
+    rendered = {r.content_sha256 for r in index._rendered(index.objects).select(tx.content_hash(F.col("rendered")).alias("content_sha256")).collect()}
+    assert rendered == {r.content_sha256 for r in index.objects.collect()}  # both renderers agree
+    hits = index.search(SearchOptions("def dos(): return 1", full_text=False, radius=2.0)).collect()
+    assert hits[0]["path"] == "dos.py"
+
+
+def invariants(index):
+    c = index.counts()
+    assert c["object"] == c["embedding"] == c["fts"] and c["file"] == index.objects.where("kind = 'file'").count()
+
+
+def test_index_follows_its_tree(spark, tmp_path, monkeypatch):
+    root = make(tmp_path, {"a.py": "def one(): pass\n", "b.md": "text b", "sub/c.go": "package c\n"})
+    index = Index(spark, root)
+    assert index.counts()["object"] == 0
+    index.refresh()
+    invariants(index)
+    (root / "b.md").write_bytes(b"now\0binary")
+    (root / "sub/d.rs").write_text("fn d() {}")
+    assert index.refresh() == {"changed": 1, "new": 1, "same": 2}
+    invariants(index)
+    assert {r.path for r in index.files.collect()} == {"a.py", "sub/c.go", "sub/d.rs"}
+    # a failure while publishing leaves the index as it was
+    before, rows = index.store.generation, sorted(r.id for r in index.objects.collect())
+    (root / "a.py").write_text("def two(): pass\n")
+    with monkeypatch.context() as m:
+        m.setattr(os, "replace", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            index.refresh()
+    assert index.store.generation == before and sorted(r.id for r in index.objects.collect()) == rows
+    (root / ".gitignore").write_text("sub/\n")
+    hits = index.search(SearchOptions("two", semantic=False, refresh=True)).collect()
+    assert [h["name"] for h in hits][0] == "two" and {r.path for r in index.files.collect()} == {"a.py", ".gitignore"}
+    invariants(index)
+    made = index.stats["embedded"]
+    index.search(SearchOptions("two", semantic=False, rebuild_vectors=True))
+    assert index.stats["embedded"] > made and json.loads(index.dump_stats())["seconds"]["search"] > 0
+    invariants(index)
+    index.store.clean()
+    invariants(index)
+    (index.store.path / "manifest.json").write_text('{"schema_version": 1, "generation": "old"}')
+    assert index.counts()["object"] == 0  # an older version's store counts as none
+    index.refresh()
+    invariants(index)
+    (index.store.path / "manifest.json").write_text('{"schema_version": 99, "generation": "new"}')
+    with pytest.raises(ValueError):
+        index.counts()
+
+
+def test_live_index(spark, tmp_path):
+    root = make(tmp_path / "tree", {"a.py": "def a(): pass\n"})
+    index = Index(spark, root, path=tmp_path / "index")
+    q = ch.keep_index_live(index, ch.changes(spark, root, tmp_path / "state"), str(tmp_path / "cp"))
+    try:
+        wait = lambda ready: any(ready() or time.sleep(0.3) for _ in range(200))
+        assert wait(lambda: index.store.generation is not None and index.files.count() == 1)
+        (root / "b.py").write_text("def b(): pass\n")
+        os.remove(root / "a.py")
+        assert wait(lambda: {r.path for r in index.files.collect()} == {"b.py"})
+    finally:
+        q.stop()
+    invariants(index)
+
+
+def test_bursts(spark):
+    rows = [("u", 0), ("u", 1), ("u", 5), ("v", 0), ("v", 30)]
+    events = spark.createDataFrame(rows, "user string, s int").selectExpr("user", "timestamp_seconds(s) AS ts")
+    got = sorted((r.user, r.n) for r in ch.bursts(events, "ts", "3 seconds", "user").collect())
+    assert got == [("u", 1), ("u", 2), ("v", 1), ("v", 1)]
+
+
 def test_settings(tmp_path):
     p = tmp_path / "c" / "s.toml"
     assert Settings.load(p) == Settings() and p.exists()
     Settings(dimensions=64).save(p)
     assert Settings.load(p).dimensions == 64
+    odd = Settings(model='a "b" \\ c\n\x7f\t é', editor="\\")
+    odd.save(p)
+    assert Settings.load(p) == odd
 
 
 def test_index_life_cycle(spark, tmp_path):
