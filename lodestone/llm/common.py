@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,31 @@ def discard(*tables: DataFrame | None) -> None:
             system.delete(there, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def fits(df: DataFrame, rows: int, size: Column, most: int) -> bool:
+    """Whether df has at most `rows` rows that take at most `most` bytes by `size`; reads no more rows than that takes."""
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and total <= most
+
+
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows; reads no more of it than that takes."""
     return df.limit(most + 1).count() <= most
+
+
+def by_size(batches, column: int, most: int = 1 << 20):
+    """Slices of Arrow batches whose values in a text or binary column come to about `most` bytes; a longer value is alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
