@@ -1,13 +1,15 @@
 """Quality by compression: zstandard dictionaries built from good and from bad labelled texts.
 
-A text is compressed whole with either dictionary and with none. The difference of the two sizes over the larger one
-tells which of the two kinds of text it resembles; together with the plain ratio (which shows repetition) and the
-length (on which both depend) it is calibrated to a probability on labelled texts that no dictionary has seen.
+A text is compressed piece by piece, whole, with either dictionary and with none. The normalised difference of the
+sizes with a dictionary and without it tells how much that dictionary helps; the two differences (and their squares
+and product, as junk that repeats itself needs no help from either) are calibrated to a probability on labelled texts that no dictionary has
+seen. Neither length nor the plain compression ratio enters a score.
 
 Fitting uses a sample bounded by `per_class` texts of at most `max_chars` characters. Scoring is a map over whole
-texts. Cases: null counts as empty and gets the calibrated score of length 0; equal texts get equal scores; with no
-labelled rows of either class every score is the share of label 1 (1 if there are no labels at all); extra columns
-are kept by `score_quality`; repeated rows are scored each.
+texts. Cases: null counts as empty, for which no dictionary helps, and gets the calibrated score of that; very long
+texts are read whole, a piece at a time; equal texts get equal scores (ties stay ties); with no labelled rows of
+either class, as with empty tables, every score is the share of label 1 (1 if there are no labels at all); extra columns are
+kept by `score_quality`, which refuses an output name that is taken; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from lodestone.llm.labelled import Logistic, fold, sample
 
 PER_CLASS = 4000
 MAX_CHARS = 20_000
-DICTIONARY_BYTES = 1 << 18
+DICTIONARY_BYTES = 1 << 15
+#: Bytes that are compressed at once: short enough for the dictionary to matter in all of them.
+PIECE = 1024
 LEVEL = 3
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -65,9 +69,15 @@ class QualityModel:
         self.calibrated = Logistic(np.array(x), np.array(y, dtype=float))
 
     def features(self, raw: bytes) -> list[float]:
-        good, bad, plain = (len(_compressor(d).compress(raw)) for d in (self.good, self.bad, b""))
-        gap, ratio, n = (bad - good) / max(good, bad), plain / max(len(raw), 16), np.log1p(len(raw))
-        return [gap, ratio, n, gap * gap, ratio * ratio, n * n, gap * n, ratio * n, gap * ratio]
+        good = bad = plain = 0
+        with_good, with_bad, without = (_compressor(d).compress for d in (self.good, self.bad, b""))
+        for at in range(0, max(1, len(raw)), PIECE):
+            piece = raw[at : at + PIECE]
+            good += len(with_good(piece))
+            bad += len(with_bad(piece))
+            plain += len(without(piece))
+        a, b = (plain - good) / plain, (plain - bad) / plain
+        return [a, b, a * a, b * b, a * b]
 
     def scores(self, texts) -> np.ndarray:
         if self.constant is not None:
@@ -82,6 +92,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max
 
 def score_quality(documents: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
     """The documents with a column `out` of scores from 0 to 1; higher is better."""
+    if out.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"the documents have a column {out} already")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
     @F.pandas_udf("double")
