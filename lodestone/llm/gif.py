@@ -9,8 +9,9 @@ LZW decoding works on all codes of a table period at once: between two clear cod
 on i only, each table entry is a slice of the output that was made so far, and the copies are resolved by pointer
 doubling, so the time is linear in the output with a small logarithmic factor.
 
-Cases: null text is an empty payload (192 spaces); equal texts give equal media and values; truncated or malformed
-media raise ValueError; repeated rows give a row each; extra columns are ignored.
+Cases: null text is an empty payload (192 spaces); equal texts give equal media and values (ties too); very long texts
+are stored whole, frame after frame; truncated or malformed media raise ValueError; a null doc_id stays null; repeated
+rows give a row each; an empty table gives an empty one; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import by_size
+
 WIDTH = 192
 ROWS = 64
 #: Hundredths of a second that each frame shows.
@@ -305,17 +308,10 @@ def read_payload(media: bytes) -> bytes:
     return b"".join(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in decode(media))
 
 
-def _slices(batches, rows: int = 256):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _store(batches):
-    for b in _slices(batches):
-        media = [encode(pad((x or "").encode())) for x in b.column(1).to_pylist()]
-        sizes = [len((x or "").encode()) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+    for b in by_size(batches, 1):
+        raw = [(x or "").encode() for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store_texts(documents: DataFrame) -> DataFrame:
@@ -323,44 +319,40 @@ def store_texts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_store, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-FRAMES = "index int, start_cs long, delay_cs int, left int, top int, width int, height int, disposal int, histogram array<long>"
-
+FRAME = "index:int,start_cs:bigint,delay_cs:int,left:int,top:int,width:int,height:int,disposal:int,histogram:array<int>"
+DECODED = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME}>>"
 
-def _frames(batches):
-    names = ["doc_id", "index", "start_cs", "delay_cs", "left", "top", "width", "height", "disposal", "histogram"]
-    kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.int64())]
-    for b in batches:
-        for doc, media in zip(b.column(0), b.column(1)):
-            for f in decode(media.as_py()):
-                row = [f.index, f.start_cs, f.delay_cs, f.left, f.top, f.width, f.height, f.disposal, histogram(f.canvas).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], b.column(0).type), *(pa.array([v], k) for v, k in zip(row, kinds))], names=names)
 
+def _decoded(id_type: pa.DataType):
+    frame = pa.struct([(n, pa.list_(pa.int32()) if n == "histogram" else pa.int64() if n == "start_cs" else pa.int32()) for n in (x.split(":")[0] for x in FRAME.split(","))])
+    names = ("doc_id", *(x.split()[0] for x in DECODED.split(", ")))
+    schema = pa.schema(list(zip(names, (id_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(frame)))))
 
-def frames(media: DataFrame) -> DataFrame:
-    """One row per frame of (doc_id, media): its time, place, disposal and colour histogram."""
-    return media.where("media is not null").select("doc_id", "media").mapInArrow(_frames, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {FRAMES}")
+    def run(batches):
+        for b in by_size(batches, 2):
+            rows = []
+            for doc, size, media in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                sha, n, tail, frames = hashlib.sha256(), 0, b"", []
+                for f in decode(media):
+                    part = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
+                    sha.update(part)
+                    n, tail = n + len(part), (tail + part)[-16:]
+                    frames.append({"index": f.index, "start_cs": f.start_cs, "delay_cs": f.delay_cs, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "histogram": histogram(f.canvas).astype(np.int32)})
+                rows.append((doc, size, n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), frames))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    return run
 
-SUMMARY = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, duration_cs long, histogram array<long>"
 
+def decode_media(media: DataFrame) -> DataFrame:
+    """One row per stored medium (doc_id, n_bytes, media): digests of the medium and of the payload read back from it, and its
+    timed frames, each with its place, disposal and the colour histogram of what it shows. Rows without media are left out."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _summarize(batches):
-    names = ["doc_id", *(x.split()[0] for x in SUMMARY.split(", "))]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    for b in _slices(batches):
-        rows = []
-        for size, media in zip(b.column(1).to_pylist(), b.column(2)):
-            media = media.as_py()
-            sha, n, tail, hist, k, clock = hashlib.sha256(), 0, b"", 0, 0, 0
-            for f in decode(media):
-                part = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes()
-                sha.update(part)
-                n, tail, k, clock = n + len(part), (tail + part)[-16:], k + 1, f.start_cs + f.delay_cs
-                hist = hist + histogram(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width])
-            rows.append((size, n, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), k, clock, hist.tolist()))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+    kind = media.schema["doc_id"].dataType
+    return media.select("doc_id", "n_bytes", "media").where("media is not null").mapInArrow(_decoded(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {DECODED}")
 
 
-def summarize(media: DataFrame) -> DataFrame:
-    """One row per stored text: digests of media and of the payload read back from it, frame count, length and summed histogram."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_summarize, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {SUMMARY}")
+def frames(decoded: DataFrame) -> DataFrame:
+    """One row per frame."""
+    return decoded.select("doc_id", F.explode("frames").alias("f")).select("doc_id", "f.*")

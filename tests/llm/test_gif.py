@@ -101,15 +101,19 @@ def test_table(spark):
     import zlib
 
     texts = ["", None, "ä" * 500, "word " * 30_000, "word " * 30_000]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, media string")
-    rows = {r.doc_id: r for r in gif.summarize(gif.store_texts(docs)).collect()}
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] + [(None, "no id", "x", 1)], "doc_id long, text string, media string, frames int")
+    decoded = gif.decode_media(gif.store_texts(docs))
+    rows = {r.doc_id: r for r in decoded.collect()}
     for i, t in enumerate(texts):
         raw = gif.pad((t or "").encode())
         assert (rows[i].n_bytes, rows[i].payload_bytes) == (len((t or "").encode()), len(raw))
         assert rows[i].payload_sha256 == hashlib.sha256(raw).hexdigest() and rows[i].tail_crc32 == zlib.crc32(raw[-16:])
     assert rows[3].media_sha256 == rows[4].media_sha256
-    assert gif.frames(gif.store_texts(docs)).where("doc_id = 3").count() == rows[3].n_frames > 1
-    assert gif.summarize(gif.store_texts(docs.limit(0))).count() == 0
+    assert rows[None].n_bytes == 5 and len(rows) == 6
+    timed = gif.frames(decoded).where("doc_id = 3").orderBy("index").collect()
+    assert len(timed) == len(rows[3].frames) > 1 and [f.start_cs for f in timed] == [gif.DELAY * i for i in range(len(timed))]
+    assert sum(timed[0].histogram) == gif.WIDTH * gif.ROWS
+    assert gif.decode_media(gif.store_texts(docs.limit(0))).count() == 0
 
 
 def test_query_reads_stored_media(spark, monkeypatch):
@@ -118,5 +122,6 @@ def test_query_reads_stored_media(spark, monkeypatch):
     made, write = [], queries.work_table
     monkeypatch.setattr(queries, "work_table", lambda spark, df, name: made.append(write(spark, df, name)) or made[-1])
     out = queries.op6_gif(spark, "/root/testdata/sf0.001")
-    assert "media" in made[0].columns and made[0].count() == out.count()
-    assert set(made[0].inputFiles()) == set(out.inputFiles())
+    media, frames = made
+    assert "media" in media.columns and media.count() == out.count() == frames.count()
+    assert set(frames.inputFiles()) == set(out.inputFiles()) and frames.where("size(frames) = 0").count() == 0
