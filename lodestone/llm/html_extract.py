@@ -10,8 +10,9 @@ page's menus, headers and footers outside any container that is marked as conten
 
 Text rules: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined
 by a blank line in page order. Cases: null or empty html gives empty text; malformed markup (unclosed or stray tags,
-a page that stops in a tag) is read leniently; very long pages are read in one linear pass; repeated rows give a row
-each; extra columns are ignored.
+a page that stops in a tag, quotes in unquoted values) is read leniently; very long pages are read in one linear pass;
+of runs that score the same (ties) the first counts; repeated rows give a row each; an empty table gives an empty one;
+extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What may stand in a tag: a quote opens a value only right after an equals sign, elsewhere it is a letter like others.
+_INSIDE = r"""(?>[^>"'=]+|=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s>"'][^\s>]*|[="'])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|\Z)", re.S)
+_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements whose content is never text, those that start a new block, and those without content. Fixed values.
@@ -81,7 +84,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, frozenset, int]] = []  # tag, features, kind of aside or 0
     held: list[str] = []
     linked = 0
-    in_link = 0
+    in_link = depth = 0
     tags: list[str] = []
     outer: list[str] = []
     at, n = 0, len(page)
@@ -134,12 +137,14 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag == "a":
-            in_link = 0 if ending else 1
+            in_link, depth = int(not ending and "href" in attributes.lower()), len(stack)
         if ending:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
+            if len(stack) < depth:  # a link that was never closed ends with the element around it
+                in_link = 0
             continue
         over = CLOSES.get(tag)
         if over and stack and stack[-1][0] in over:

@@ -48,6 +48,17 @@ def test_a_menu_parts_the_page():
     assert hx.extract(f"<body><article><p>{PROSE}</p>{toc}<p>{PROSE}</p></article></body>") == f"{PROSE}\n\n{PROSE}"
 
 
+@pytest.mark.parametrize("tag", ["<p title=it's>", "<p title=5\">", "<p data-x=a'b\"c class=x>", "<p title='a > b' id=\"x's\">", "<p it's>", "<p title = \"a'b\" >", "<p title=>", "<p a=b=c'd>"])
+def test_quotes_in_tags(tag):
+    page = f"<article>{tag}one two three four</p><p>more text here and there</p></article>"
+    assert hx.extract(page) == "one two three four\n\nmore text here and there"
+
+
+def test_unclosed_links_end_with_their_block():
+    page = f"<body><div><p><a href=/x>see this</div><div><a name=top><p>{PROSE}</p></div></body>"
+    assert PROSE in hx.extract(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- never ends", "<script>x", "</p></div>", "<a href='x"])
 def test_no_text(page):
     assert hx.extract(page) in ("", "<")
