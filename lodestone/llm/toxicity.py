@@ -1,14 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Inputs of a word: the log odds of the word itself, and the largest, second kind of largest and mean log odds of its
-character n-grams (3 to 6 UTF-8 bytes, word ends included), all looked up in hashed tables that are counted on one
-half of the labelled sample. The network is trained on the other half: for each document, the window that scores
-highest so far carries the document's label. A document's score is its highest window's logit, calibrated together
-with the number of windows. Windows of `WINDOW` words overlap by a quarter and cover every text from end to end.
+character n-grams (3 to 6 UTF-8 bytes, word ends included), all looked up in hashed tables of label counts. For fitting, the labelled sample is
+dealt into three parts: each part's inputs come from counts of the other two, the network learns from two parts and is
+calibrated on the third. For each document, the window that scores highest so far carries its label. A document's
+score is its highest window's logit, calibrated together with the number of windows. Windows of `WINDOW` words overlap
+by a quarter and cover every text from end to end.
 
 Fitting is bounded by `per_class` texts of at most `max_chars` characters. Scoring is a map over whole texts.
-Cases: null counts as empty; texts without words are one empty window; equal texts get equal scores; without labelled
-rows of both classes every score is the share of label 1 (0 if there are none); extra columns are kept.
+Cases: null counts as empty; texts without words are one empty window; very long texts are read whole, all windows of
+them; equal texts get equal scores (ties stay ties); without eight labelled rows of each class, as with empty tables, every
+score is the share of label 1 (0 if there are none); repeated rows are scored each; extra columns are kept by
+`score_toxicity`, which refuses an output name that is taken.
 """
 
 from __future__ import annotations
@@ -101,9 +104,9 @@ def word_inputs(w: Words, tables: np.ndarray) -> np.ndarray:
     return x
 
 
-def count_tables(texts: list[str], y: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of a text's being toxic by what it contains, per hashed slot."""
-    seen = np.zeros((2, 1 + len(GRAMS), SLOTS), dtype=np.float32)
+def count_texts(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """How many texts of either label hold what falls in each hashed slot, and (last slot) how many there are."""
+    seen = np.zeros((2, 1 + len(GRAMS), SLOTS + 1), dtype=np.float32)
     for at in range(0, len(texts), 256):
         w = Words(texts[at : at + 256])
         text_of = np.searchsorted(w.text_end, np.arange(len(w.start)), side="right")
@@ -112,10 +115,17 @@ def count_tables(texts: list[str], y: np.ndarray) -> np.ndarray:
             both = np.unique(slot * 256 + text_of[word])
             label = y[at + (both & 255)]
             for c in (0, 1):
-                seen[c, k] += np.bincount((both >> 8)[label == c], minlength=SLOTS)
-    n = [max(1, int((y == c).sum())) for c in (0, 1)]
+                seen[c, k, :SLOTS] += np.bincount((both >> 8)[label == c], minlength=SLOTS)
+    for c in (0, 1):
+        seen[c, :, SLOTS] = (y == c).sum()
+    return seen
+
+
+def log_odds(seen: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of a text's being toxic by what it contains, per hashed slot."""
+    n = np.maximum(seen[:, :, SLOTS:], 1)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    return np.where(seen.sum(0) >= 3, odds, 0).astype(np.float32)
+    return np.where(seen.sum(0) >= 2, odds, 0).astype(np.float32)[:, :SLOTS]
 
 
 def windows(text_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +183,18 @@ class GatedNet:
         return {d: np.concatenate([x @ self.p[f"W{d}"], zero]) for d in "fb"}
 
     def logits(self, x: np.ndarray, index: np.ndarray, step: int = 2048) -> np.ndarray:
-        proj = self.project(x)
-        return np.concatenate([self.forward(proj, index[i : i + step]) for i in range(0, len(index), step)] or [np.empty(0, np.float32)])
+        """Of windows whose words come in order: each step projects the words that it spans only."""
+        out = [np.empty(0, np.float32)]
+        for i in range(0, len(index), step):
+            part = index[i : i + step]
+            used = part[part >= 0]
+            low, high = (int(used.min()), int(used.max()) + 1) if len(used) else (0, 0)
+            out.append(self.forward(self.project(x[low:high]), np.where(part >= 0, part - low, -1)))
+        return np.concatenate(out)
 
     def gradients(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         h = HIDDEN
+        x, index = x[np.maximum(index, 0).ravel()], np.where(index >= 0, np.arange(index.size).reshape(index.shape), -1)
         logit, states, a, pooled, mask, tape = self.forward(self.project(x), index, keep=True)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         dl = (_sigmoid(logit) - y) * weight
@@ -214,21 +231,35 @@ class ToxicityModel:
         if min((y == 0).sum(), (y == 1).sum()) < 8:
             self.constant = float(y.mean()) if len(y) else 0.0
             return
-        half = np.zeros(len(y), dtype=bool)
+        # three parts, classes dealt evenly: the inputs of each come from counts of the others, so that no label tells of itself;
+        # the network learns from two parts and is calibrated on the third
+        part = np.zeros(len(y), dtype=np.int64)
         for c in (0, 1):
-            half[np.flatnonzero(y == c)[::2]] = True
-        texts = [t for t, _ in rows]
-        count = lambda pick: count_tables([texts[i] for i in np.flatnonzero(pick)], y[pick])
-        self.tables = count(half)
-        mine = np.flatnonzero(~half)
-        self.net, x_all, own = GatedNet(), [], y[mine]
-        w = Words([texts[i] for i in mine])
-        x_all = word_inputs(w, self.tables)
-        index, text = windows(w.text_end)
+            at = np.flatnonzero(y == c)
+            part[at] = np.arange(len(at)) % 3
+        order = np.argsort(part, kind="stable")
+        texts, y, part = [rows[i][0] for i in order], y[order], part[order]
+        bounds = np.searchsorted(part, np.arange(4))
+        counts = [count_texts(texts[a:b], y[a:b]) for a, b in zip(bounds, bounds[1:])]
+        inputs, ends, n = [], [], 0
+        for p in range(3):
+            own = log_odds(sum(c for i, c in enumerate(counts) if i != p))
+            for a in range(bounds[p], bounds[p + 1], 256):
+                w = Words(texts[a : min(a + 256, bounds[p + 1])])
+                inputs.append(word_inputs(w, own))
+                ends.append(w.text_end + n)
+                n += len(w.start)
+        self.tables, x_all = log_odds(sum(counts)), np.concatenate(inputs)
+        del counts, inputs
+        self.net = GatedNet()
+        all_index, all_text = windows(np.concatenate(ends))
+        split = int(np.searchsorted(all_text, bounds[2]))
+        index, text, own = all_index[:split], all_text[:split], y
         wide = np.append(x_all[:, :-1].max(1), 0.0)
         lead = wide[index].max(1)
         r = np.random.default_rng(SEED)
         weight = np.where(own == 1, 0.5 / (own == 1).mean(), 0.5 / (own == 0).mean()).astype(np.float32)
+        short_rng = np.random.default_rng(SEED + 1)
         mean = {k: np.zeros_like(v) for k, v in self.net.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.net.p.items()}
         step = 0
@@ -239,8 +270,7 @@ class ToxicityModel:
             also = also[own[text[also]] == 0]
             # and its beginning alone, from nothing to half a window, so that short and empty texts are known too
             few = also[::5]
-            short = np.where(np.arange(WINDOW) < r.integers(0, WINDOW // 2, len(few))[:, None], index[few], -1)
-            short[::4] = -1
+            short = self._beginnings(index[few], r)
             seen, whose = np.concatenate([index, short]), np.concatenate([text, text[few]])
             pick = np.concatenate([best, also, np.arange(len(index), len(seen))])
             for _ in range(epochs):
@@ -253,10 +283,19 @@ class ToxicityModel:
                         self.net.p[k] = (self.net.p[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             lead = self.net.logits(x_all, index)
         # longer texts than calibration knows count as its long ones
+        index, text = all_index[split:], all_text[split:] - bounds[2]
         self.most = float(np.quantile(np.bincount(text), 0.95))
-        top = self._features(lead, text, len(mine))
-        brief = np.stack([self.net.logits(x_all, short).astype(np.float64), np.zeros(len(short))], axis=1)
-        self.calibrated = Logistic(np.concatenate([top, brief]), np.concatenate([own.astype(float), np.zeros(len(short))]))
+        top = self._features(self.net.logits(x_all, index), text, len(y) - bounds[2])
+        brief = self._beginnings(index[:: max(1, 5 * len(index) // max(1, len(short)))], short_rng)
+        brief = np.stack([self.net.logits(x_all, brief).astype(np.float64), np.zeros(len(brief))], axis=1)
+        self.calibrated = Logistic(np.concatenate([top, brief]), np.concatenate([y[bounds[2] :].astype(float), np.zeros(len(brief))]))
+
+    @staticmethod
+    def _beginnings(index: np.ndarray, r: np.random.Generator) -> np.ndarray:
+        """The windows cut to their beginnings, from nothing to half; every fourth is empty."""
+        out = np.where(np.arange(WINDOW) < r.integers(0, WINDOW // 2, len(index))[:, None], index, -1)
+        out[::4] = -1
+        return out
 
     def _features(self, logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
         first = np.searchsorted(text, np.arange(n))
@@ -282,6 +321,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
     """The documents with a column `out` of scores from 0 to 1; higher is more toxic."""
+    if out.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"the documents have a column {out} already")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # tables and weights of a fixed size
 
     @F.arrow_udf(T.DoubleType())
