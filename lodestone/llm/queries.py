@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import quality, toxicity
 from lodestone.llm.common import LOWER, UPPER, table, work_table
 from lodestone.llm.decontaminate import decontaminate
-from lodestone.llm.gif import store_texts, summarize
+from lodestone.llm.gif import decode_media, store_texts
 from lodestone.llm.html_extract import extract_pages
 from lodestone.llm.labelled import fold
 from lodestone.llm.line_dedup import drop_boilerplate
@@ -33,9 +33,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped"))
     text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = summarize(work_table(spark, store_texts(table(spark, sf_dir, "documents")), "media"))
-    feature = F.concat_ws(";", F.concat(F.lit("frames="), "n_frames"), F.concat(F.lit("cs="), "duration_cs"), F.concat(F.lit("hist="), F.array_join(F.col("histogram").cast("array<string>"), ",")))
+    media = work_table(spark, store_texts(table(spark, sf_dir, "documents")), "media")
+    out = work_table(spark, decode_media(media), "frames")  # the timed frames with their histograms, read back from the stored media
+    length = F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + f["delay_cs"])
+    colours = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 64), lambda s, f: F.zip_with(s, f["histogram"], lambda a, b: a + b))
+    feature = F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("cs="), length), F.concat(F.lit("hist="), F.array_join(colours.cast("array<string>"), ",")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
@@ -104,16 +107,16 @@ FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
 OP7_SQL = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-pages AS (SELECT DISTINCT source, text, lines FROM d WHERE source IS NOT NULL AND text IS NOT NULL),
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+pages AS (SELECT source, text, lines FROM d WHERE source IS NOT NULL AND text IS NOT NULL),
 totals AS (SELECT source, count(*) AS n_all FROM pages GROUP BY source),
 counts AS (
-  SELECT source, line, count(*) AS n
-  FROM (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: trim(x) <> ''))) AS line FROM pages)
+  SELECT source, line, count(*) AS n, count(DISTINCT md5(text)) AS n_texts
+  FROM (SELECT source, text, unnest(list_distinct(list_filter(lines, lambda x: trim(x) <> ''))) AS line FROM pages)
   GROUP BY source, line),
 bad AS (
   SELECT source, list(line) AS bad FROM counts JOIN totals USING (source)
-  WHERE n >= 5 AND n / n_all > 0.1 GROUP BY source),
+  WHERE n_texts > 1 AND n / n_all > 0.1 GROUP BY source),
 kept AS (
   SELECT doc_id, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept
   FROM d LEFT JOIN bad USING (source))
@@ -123,6 +126,18 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM kept
 """
 
+#: Base32 of a SHA-1 in hexadecimal: five hexadecimal digits make four letters.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT *, sha1(html) AS hex FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, true AS digests_hold
+FROM h
+"""
+
 
 def _op2_sql() -> str:
     fits = "WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{v}'"
@@ -181,4 +196,4 @@ QUERIES = {
 }
 
 #: The others can't be said in SQL and are tested against brute force, round trips or held-out rows.
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_url_filter": _op2_sql(), "op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_url_filter": _op2_sql(), "op7_line_dedup": OP7_SQL, "op8_warc": OP8_SQL}

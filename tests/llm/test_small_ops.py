@@ -41,38 +41,59 @@ def contaminated(docs, items, t=13):
     return out
 
 
+def holds_window(docs, items, t=13):
+    long_items = [(i, b) for i, b in items if len(words(b)) >= t]
+    return [bool(hit) for _, hit, _ in contaminated(docs, long_items, t)]
+
+
 @pytest.mark.parametrize("broadcast_rows", [10**6, 1])
 def test_decontamination(spark, broadcast_rows):
     r = random.Random(1)
     prose = lambda n, v=60: " ".join(r.choice("ab Éé0") .strip() + f"w{r.randrange(v)}" for _ in range(n))
     items = [(1, prose(40)), (2, prose(13)), (3, "Two words"), (4, ""), (None, "alpha beta"), (5, None), (6, "solo"), (2, "another text of item two")]
-    docs = [(i, prose(50)) for i in range(5)] + [(9, items[0][1].upper()), (9, items[0][1].upper()), (10, "x " + items[1][1] + " y, TWO, words; " + prose(30)), (11, None), (12, ""), (None, "solo"), (13, "ha " * 500), (14, items[0][1][:60])]
-    df = spark.createDataFrame([(*d, "extra", 1) for d in docs], "doc_id long, text string, items string, t int")
+    docs = [(i, prose(50)) for i in range(5)] + [(9, items[0][1].upper()), (9, items[0][1].upper()), (10, "x " + items[1][1] + " y, TWO, words; " + prose(30)), (11, None), (12, ""), (None, "solo"), (13, "ha " * 500), (14, items[0][1][:60]), (15, prose(900, 9000) + " " + items[1][1]), (16, "q " * 200_000)]
+    df = spark.createDataFrame([(*d, "extra", 1, 2, 3) for d in docs], "doc_id long, text string, items string, t int, _row int, _key int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate(df, bench, broadcast_rows=broadcast_rows).collect()
     want = contaminated(docs, items)
     key = lambda i, x: (i is None, i or 0, x)
     assert sorted(key(g.doc_id, (g.n_words, g.n_hit, g["items"])) for g in got) == sorted(key(d[0], w) for d, w in zip(docs, want))
     assert all(g.contaminated == (g.n_hit > 0 and 20 * g.n_hit >= g.n_words) for g in got)
-    kept = drop_contaminated(df, bench)
-    assert kept.columns == df.columns and kept.count() == sum(not (h > 0 and 20 * h >= n) for n, h, _ in want)
+    kept = drop_contaminated(df, bench, broadcast_rows=broadcast_rows)
+    stay = [d[0] for d, (n, h, _), whole in zip(docs, want, holds_window(docs, items)) if not whole and not (h > 0 and 20 * h >= n)]
+    assert kept.columns == df.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, stay)) and 15 not in stay
     assert decontaminate(df.limit(0), bench).count() == 0 and decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
 def test_line_dedup(spark, broadcast_rows):
     foot = "all rights kept"
-    rows = [("h", f"line {i}\n{foot}\n\nline {i}") for i in range(20)] + [("h", "copy of one")] * 30 + [("few", f"{foot}\nz")] * 3 + [(None, foot), ("h", None), ("h", "")]
-    df = spark.createDataFrame([(s, t, 1, "k") for s, t in rows], "source string, text string, _other int, host string")
-    got = line_dedup.drop_boilerplate(df, broadcast_rows=broadcast_rows)
-    assert got.columns == [*df.columns, "_n_lines", "_n_dropped"] and got.count() == len(rows)
-    texts = [r.text for r in got.collect()]
-    assert sum(foot in (t or "") for t in texts) == 4 and texts.count("copy of one") == 30 and texts.count(None) == 1
-    assert "line 3\n\nline 3" in texts
+    rows = [("h", f"line {i}\n{foot}\n\nline {i}") for i in range(20)] + [("h", "copy of one")] * 30 + [("few", f"{foot}\nz"), ("few", f"{foot}\ny"), ("one", foot), (None, foot), ("h", None), ("h", "")]
+    rows += [("even", f"tie\nown {i}" if i == 0 else f"own {i}") for i in range(10)] + [("long", "\n".join(f"l{i}" for i in range(50_000)))]
+    df = spark.createDataFrame([(s, t, 1, "k", 2, 3, 4) for s, t in rows], "source string, text string, _other int, host string, _bad int, _site int, _n_lines int")
+    pages = {}
+    for s, t in rows:
+        if s is not None and t is not None:
+            pages.setdefault(s, []).append(t)
+
+    def stays(s, x):
+        having = [t for t in pages.get(s, []) if x in t.split("\n")]
+        return not x.strip() or len(set(having)) < 2 or len(having) / len(pages[s]) <= 0.1
+
+    want = [(s, None if t is None else "\n".join(x for x in t.split("\n") if stays(s, x))) for s, t in rows[:-1]] + [rows[-1]]
+    got = line_dedup.drop_boilerplate(df, counts=("n", "gone"), broadcast_rows=broadcast_rows)
+    assert got.columns == [*df.columns, "n", "gone"]
+    got = got.collect()
+    assert sorted(((r.source, r.text) for r in got), key=repr) == sorted(want, key=repr) and all(tuple(r)[2:7] == (1, "k", 2, 3, 4) for r in got)
+    lines = lambda t: 0 if t is None else len(t.split("\n"))
+    assert sum(r.gone for r in got) == 20 + 2 and sum(r.n for r in got) == sum(lines(t) for _, t in rows)
+    assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.drop_boilerplate(df, counts=("_N_lines", "x"))
 
 
 def test_warc(spark):
-    rows = [(3, "http://a/", "same"), (1, "http://b/\n", "same"), (2, None, None), (7, "u", ""), (5, "v", "ä" * 300_000), (5, "v", "ä" * 300_000), (None, "w", "same")]
+    rows = [(3, "http://a/", "same"), (1, "http://b/\n", "same"), (2, None, None), (7, "u", ""), (5, "v", "ä" * 300_000), (5, "v", "ä" * 300_000), (None, "w", "same"), (9, "http://c/%20?a b", "other")]
     pages = spark.createDataFrame([(*r, b"x", "y") for r in rows], "page_id long, url string, html string, archive binary, first string")
     got = warc.read_archives(warc.write_archives(pages, segment_bytes=500)).collect()
     assert len(got) == len(rows) and all(g.ok for g in got)
@@ -80,16 +101,35 @@ def test_warc(spark):
     assert (by["1"].record_type, by["3"].record_type, by["3"].refers_to, by[None].refers_to) == ("response", "revisit", "1", "1")
     assert (by["2"].record_type, by["7"].refers_to, by["7"].payload_bytes) == ("response", "2", 0)
     assert by["5"].payload_bytes == 600_000 and by["5"].payload_digest == base64.b32encode(hashlib.sha1(("ä" * 300_000).encode()).digest()).decode()
-    assert by["1"].url == "http://b/\n" and bytes(by["1"].payload) == b"same" and by["3"].payload is None
+    assert by["1"].url == "http://b/%0A" and by["9"].url == "http://c/%20?a b" and bytes(by["1"].payload) == b"same" and by["3"].payload is None
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
 def test_warc_detects_damage():
-    good = warc.record_bytes(1, "u", b"payload")
-    assert warc.parse_record(bytearray(good))["ok"]
-    assert not warc.parse_record(bytearray(good.replace(b"payload", b"pAyload")))["ok"]
+    good = warc.record_parts(1, "u", b"payload")
+    read = lambda parts: [r["ok"] for r in warc.read_archive(warc.gzip_member(parts))]
+    assert read(good) == [True]
+    assert read([x.replace(b"payload", b"pAyload") for x in good]) == [False]
+    assert read([*good, b"more"]) == [False] and read(good[:-1]) == [False] and read([*good[:2], b"pay"]) == [False]
     with pytest.raises(ValueError):
-        list(warc.members(warc.gzip_member(good)[:-9]))
+        list(warc.read_archive(warc.gzip_member(good)[:-9]))
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 16])
+def test_warc_reads_in_pieces(monkeypatch, size):
+    monkeypatch.setattr(warc, "READ_BYTES", size)
+    monkeypatch.setattr(warc, "INFLATED", max(1, size // 3))
+    payloads = [b"", b"\r\n\r\n" * 50, bytes(range(256)) * 40]
+    archive = b"".join(warc.gzip_member(warc.record_parts(i, None, p)) for i, p in enumerate(payloads))
+    got = list(warc.read_archive(archive))
+    assert [g["payload"] for g in got] == payloads and all(g["ok"] for g in got)
+
+
+def test_warc_record_ids(spark):
+    pages = spark.createDataFrame([(i % 7, "u", f"text {i % 3}") for i in range(20)] + [(None, "u", "text 0")], "page_id long, url string, html string")
+    ids = [r["fields"]["warc-record-id"] for a in warc.write_archives(pages.repartition(3)).collect() for r in warc.read_archive(bytes(a.archive))]
+    repeats = sum(n - 1 for n in __import__("collections").Counter(i for i in ids).values())
+    assert len(ids) == 21 and repeats <= 2 and all(i.startswith("<urn:page:") for i in ids)
 
 
 def test_tokens_equal_the_library():
@@ -209,3 +249,5 @@ def test_scores_of_tables(spark):
         none = score(docs, fit(docs, labels.limit(0)), "_s").select("_s").distinct().collect()
         assert len(none) == 1
         assert score(docs.limit(0), fit(docs, labels), "_s").count() == 0
+        with pytest.raises(ValueError):
+            score(docs, fit(docs, labels), "Score")
