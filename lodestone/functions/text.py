@@ -76,11 +76,17 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def occurrences(text: Column, phrase: str) -> Column:
-    """How often a phrase starts in a text, overlaps counted; case is folded on both sides."""
-    low = F.lower(text)
-    quoted = "(?=\\Q" + phrase.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E)"
-    return F.when(F.contains(low, F.lit(phrase.lower())), F.regexp_count(low, F.lit(quoted))).otherwise(F.lit(0))
+def occurrences(low: Column, phrase: str) -> Column:
+    """How often a phrase starts in a lower-case text, overlaps counted.
+
+    Where the phrase can't overlap itself, the length that goes with it tells; a look-ahead pattern counts the others."""
+    p = phrase.lower()
+    if any(p.startswith(p[i:]) for i in range(1, len(p))):
+        quoted = "(?=\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E)"
+        count = F.regexp_count(low, F.lit(quoted))
+    else:
+        count = ((F.char_length(low) - F.char_length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("int")
+    return F.when(F.contains(low, F.lit(p)), count).otherwise(F.lit(0))
 
 
 def trigram_length(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BATCH_REQUESTS, BATCH_TOKENS = 2048, 400_000
@@ -52,6 +52,11 @@ def embedding_requests(objects: DataFrame, cache: DataFrame, model: str) -> Data
     return objects.where("rendered <> ''").groupBy("content_sha256").agg(F.first("rendered").alias("rendered")).join(have, "content_sha256", "left_anti")
 
 
+def vectors_of_objects(vectors: DataFrame, objects: DataFrame, vector_id: str = "object_id") -> DataFrame:
+    """The vectors whose object still exists."""
+    return vectors.join(objects.select(F.col("id").alias(vector_id)), vector_id, "left_semi")
+
+
 def reuse_vectors(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests (object_id, content_sha256) with the cached vector of the same content, that of the least object."""
     first = cache.groupBy("content_sha256").agg(F.min_by("data", "object_id").alias("data"), F.min("object_id").alias("from_id"))
@@ -77,10 +82,10 @@ def fill_batches(sizes: Iterable[int], most_requests: int = BATCH_REQUESTS, most
     return map(filler.put, sizes)
 
 
-def token_batches(requests: DataFrame, key: str, tokens: str = "tokens", groups: int = 16, most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS) -> DataFrame:
-    """The rows with `lane` and `batch`. A request's lane is a hash of its key, so batches don't depend on how rows are partitioned; each
-    lane fills its batches on its own, in key order."""
-    lane = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+def token_batches(requests: DataFrame, key: str, tokens: str = "tokens", groups: int = 16, lane: Column | None = None, most_requests: int = BATCH_REQUESTS, most_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """The rows with `lane` and `batch`. A request's lane is a hash of its key (or as given), so batches don't depend on how rows are
+    partitioned; each lane fills its batches on its own, in key order."""
+    lane = (F.pmod(F.xxhash64(key), F.lit(groups)) if lane is None else lane).cast("int")
     dealt = requests.withColumn("lane", lane).repartition("lane").sortWithinPartitions("lane", key)
 
     def run(parts):

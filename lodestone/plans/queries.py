@@ -5,24 +5,45 @@ vectors, `events` as the change log."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.api import parse_files
 from lodestone.functions import text as tx
-from lodestone.functions.highlight import merge_span_rows
+from lodestone.functions.highlight import highlight, highlighted_lines, merge_span_rows
 from lodestone.operators import fulltext as ft
 from lodestone.operators import hybrid as hy
 from lodestone.operators import snapshot as sn
 from lodestone.operators import vector as vc
 from lodestone.options import match_phrases
 from lodestone.sources.ignore import IgnoreTree, with_ignored
+from lodestone.streaming.changes import bursts
 
 QUERY = '"of the" tion'
 NAME_QUERY = "src1"
 TOP_K = 32
 #: Vectors nearer than this (squared) to that of vec_id 0; the default radius keeps few of random unit vectors.
 RADIUS = 1.8
+NESTED_RULES = "!4*\n*7*\n"
+TERMS = ("the", "hen")
 RULES = "*.html\n/en/4*\nfr/\n!*0.html\nde/[1-3]*\n"
+#: Source files by suffix: a text (@ stands for the document's number, # for its length), and its objects in order: name, kind, rows, context.
+SOURCES = {
+    "py": (
+        "SIZE = #\n\n\nclass Page@:\n    def size(self):\n        return #\n\n\ndef main@():\n    return Page@()\n",
+        [("SIZE", "definition.constant", "0-0", ";"), ("Page@", "definition.class", "3-5", ";"), ("size", "definition.function", "4-5", "3;"), ("main@", "definition.function", "8-9", ";")],
+    ),
+    "go": (
+        "package p@\n\ntype Page struct {\n\tsize int\n}\n\nfunc (p *Page) Size() int {\n\treturn # // }\n}\n",
+        [("Page", "definition.type", "2-4", ";"), ("Size", "definition.method", "6-8", ";")],
+    ),
+    "rs": (
+        "struct Page@ {\n    size: u64,\n}\n\nimpl Page@ {\n    fn size(&self) -> u64 {\n        #\n    }\n}\n",
+        [("Page@", "definition.struct", "0-2", ";"), ("Page@", "definition.struct.impl", "4-8", ";"), ("size", "definition.function", "5-7", "4;8")],
+    ),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,8 +194,7 @@ def embedding_requests(spark, sf_dir):
 
 
 def embeddings_semi_objects(spark, sf_dir):
-    own = objects(spark, sf_dir).where("name = 'src3'")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label").join(own, F.col("vec_id") == F.col("id"), "left_semi")
+    return sn.vectors_of_objects(table(spark, sf_dir, "embeddings").select("vec_id", "label"), objects(spark, sf_dir), "vec_id")
 
 
 def text_coordinates(spark, sf_dir):
@@ -198,49 +218,100 @@ def ignored_paths(spark, sf_dir):
     return with_ignored(table(spark, sf_dir, "pages").select("page_id", _page_path().alias("path")), tree)
 
 
+def ignored_paths_nested(spark, sf_dir):
+    """The rules of a directory come before those above it."""
+    tree = IgnoreTree()
+    tree.add("", RULES)
+    tree.add("en", NESTED_RULES)
+    return with_ignored(table(spark, sf_dir, "pages").select("page_id", _page_path().alias("path")), tree)
+
+
+def decoded_text(spark, sf_dir):
+    """Every third text as ISO-8859-1 bytes, told apart by its bytes alone."""
+    latin = F.col("doc_id") % 3 == 0
+    raw = F.when(latin, F.encode(F.translate("text", "œŒ", "oO"), "ISO-8859-1")).otherwise(F.col("text").cast("binary"))
+    d = table(spark, sf_dir, "documents").select("doc_id", raw.alias("content"))
+    return d.select("doc_id", tx.encoding(F.col("content")).alias("encoding"), F.sha2(tx.decode_text(F.col("content")), 256).alias("text_sha256"))
+
+
 def binary_filter(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("text").cast("binary"), F.lit(bytes([0, 65])))).otherwise(F.col("text").cast("binary"))
     return table(spark, sf_dir, "documents").select("doc_id", raw.alias("content")).where(~tx.is_binary(F.col("content"))).select("doc_id", F.octet_length("content").alias("n_bytes"), tx.decode_text(F.col("content")).alias("content"))
 
 
 def render_context(spark, sf_dir):
-    """Lines 2 to 3 of each text that has them, with line 0 as context, numbered."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), "text").where(F.size(F.split("text", "\n", -1)) >= 4)
-    point = lambda row: F.struct(F.lit(row).alias("row"), F.lit(0).alias("col"))
-    coordinates = F.struct(point(2).alias("start"), point(3).alias("end"))
+    """The second half of each text's lines, from the middle one on, with its first line as context, numbered."""
+    lines = F.size(F.split("text", "\n", -1))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("path"), "text", lines.alias("n"))
+    point = lambda row: F.struct(row.cast("int").alias("row"), F.lit(0).alias("col"))
+    coordinates = F.struct(point(F.floor(F.col("n") / 2)).alias("start"), point(F.col("n") - 1).alias("end"))
     out = tx.render(F.col("path"), F.col("text"), F.array(F.lit(0)), coordinates, line_numbers=True)
-    return d.select("doc_id", out.alias("rendered"))
+    return d.select("doc_id", F.sha2(out, 256).alias("rendered_sha256"))
 
 
 def highlight_spans_merged(spark, sf_dir):
-    """Spans of two terms that can't overlap themselves, per benchmark item, merged."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("text"))
-    starts = lambda term: lambda i: F.substring(F.col("text"), i, F.lit(len(term))) == term
+    """Spans of two terms that can't overlap themselves, in every text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", highlight(F.col("text"), " ".join(TERMS)).alias("h"))
+    return d.select("doc_id", F.explode("h.spans").alias("s")).select("doc_id", "s.start", "s.end")
+
+
+def highlight_span_islands(spark, sf_dir):
+    """The same spans, each term's rows apart and merged as islands."""
+    d = table(spark, sf_dir, "documents")
     spans = None
-    for term in ("the", "hen"):
-        # each start: where the text from there on begins with the term
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1))), starts(term))
-        part = b.select("item_id", F.explode(at).alias("s")).select("item_id", (F.col("s") - 1).alias("start"), (F.col("s") - 1 + len(term)).alias("end"))
+    for term in TERMS:
+        part = d.select("doc_id", F.explode(highlight(F.col("text"), term)["spans"]).alias("s")).select("doc_id", "s.start", "s.end")
         spans = part if spans is None else spans.unionByName(part)
-    return merge_span_rows(spans, "item_id")
+    return merge_span_rows(spans, "doc_id")
+
+
+def highlighted_line_numbers(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", highlighted_lines(highlight(F.col("text"), " ".join(TERMS))["lines"]).alias("l"))
+    return d.select("doc_id", F.size("l").alias("n"), F.array_join(F.col("l").cast("array<string>"), ",").alias("lines"))
 
 
 def debounced_batches(spark, sf_dir):
-    """Events of a user in bursts: a gap over an hour starts a new one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    e = e.withColumn("_new", F.when((F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")) <= 3600, 0).otherwise(1))
-    return e.withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "burst").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+    """Events of a user in bursts: an hour without one ends a burst."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = bursts(e, "ts", "1 hour", "user_id")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+def _sources(spark, sf_dir):
+    """A small source file for each document, in three languages; its names and numbers come from the document."""
+    which = F.element_at(F.array(*(F.lit(x) for x in SOURCES)), (F.col("doc_id") % len(SOURCES) + 1).cast("int"))
+    body = F.lit("")
+    for suffix, (text, _) in SOURCES.items():
+        parts = [F.col("doc_id").cast("string") if x == "@" else F.col("n_chars").cast("string") if x == "#" else F.lit(x) for x in re.split("([@#])", text) if x]
+        body = F.when(F.col("_s") == suffix, F.concat(*parts)).otherwise(body)
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", which.alias("_s"))
+    return d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit("."), F.col("_s")).alias("path"), body.cast("binary").alias("content"))
+
+
+def source_definitions(spark, sf_dir):
+    """Files parsed into objects: what they are, where, and in what context."""
+    out = parse_files(_sources(spark, sf_dir))
+    rows = F.concat_ws("-", "coordinates.start.row", "coordinates.end.row")
+    around = F.concat_ws(";", F.array_join(F.col("context_before").cast("array<string>"), ","), F.array_join(F.col("context_after").cast("array<string>"), ","))
+    return out.select("path", "ordinal", "name", "kind", "language", rows.alias("line_range"), around.alias("context"), F.char_length("content").alias("n_chars"))
+
+
+def source_objects_rendered(spark, sf_dir):
+    """The hash by which an object's vector is found is that of what the column renderer shows."""
+    out = parse_files(_sources(spark, sf_dir))
+    whole = out.where("kind = 'file'").select("path", F.col("content").alias("_text"))
+    shown = tx.render(F.col("path"), F.col("_text"), F.col("context_before"), F.col("coordinates"))
+    return out.join(whole, "path").select("path", "ordinal", (tx.content_hash(shown) == F.col("content_sha256")).alias("agrees"), F.length(shown).alias("n_chars"))
 
 
 def trigram_postings(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("").alias("path"), F.lit("").alias("name"), F.col("text").alias("content"))
-    return ft.postings(b).groupBy("gram").agg(F.count("*").alias("n"), F.min("object_id").alias("first_id"))
+    d = objects(spark, sf_dir).select("id", F.lit("").alias("path"), F.lit("").alias("name"), "content")
+    return ft.postings(d).groupBy("gram").agg(F.count("*").alias("n"), F.min("object_id").alias("first_id"))
 
 
 def batch_token_fill(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens")).where(F.col("tokens") <= tx.TOKEN_LIMIT)
-    return sn.token_batches(d, most_requests=64, most_tokens=40_000)
+    return sn.token_batches(d, "doc_id", lane=F.col("doc_id") % 16, most_requests=64, most_tokens=40_000)
 
 
 def object_labels(spark, sf_dir):
@@ -248,15 +319,12 @@ def object_labels(spark, sf_dir):
     return own.select("id", tx.label(F.col("path"), F.col("kind"), F.col("name")).alias("label"), F.sha2("content", 256).alias("content_sha256"))
 
 
-def schema_version(spark, sf_dir):
-    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("version")).agg(F.max("version").alias("version"))
-
-
 QUERIES = {f.__name__: f for f in (
     fts_any_column_topk, fts_name_topk, fts_union_dedupe, fts_postings_pruned, fts_objects_with_digest, fts_short_phrase_dropped, vector_range_topk,
     vector_range_join, hybrid_merge_tiers, rerank_filter_reorder, newest_wins, snapshot_changes, snapshot_stale_files, delete_not_visited, upsert_files,
-    embedding_cache_reuse, embedding_requests, embeddings_semi_objects, text_coordinates, language_dispatch, ignored_paths, binary_filter, render_context,
-    highlight_spans_merged, debounced_batches, trigram_postings, batch_token_fill, object_labels, schema_version,
+    embedding_cache_reuse, embedding_requests, embeddings_semi_objects, text_coordinates, language_dispatch, ignored_paths, ignored_paths_nested,
+    binary_filter, decoded_text, render_context, highlight_spans_merged, highlight_span_islands, highlighted_line_numbers, debounced_batches,
+    source_definitions, source_objects_rendered, trigram_postings, batch_token_fill, object_labels,
 )}
 
 _DIST = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2])))"
@@ -265,9 +333,43 @@ vss AS (
   SELECT id, dist FROM (SELECT e.vec_id AS id, {_DIST.format(a="e.embedding", b="q.embedding")} AS dist
     FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
   WHERE dist < {RADIUS} ORDER BY dist, id LIMIT {TOP_K})"""
-_TREE = IgnoreTree()
-_TREE.add("", RULES)
-_IGNORED = "CASE " + " ".join(f"WHEN regexp_matches(path, '{r.regex}') THEN {str(not r.negated).lower()}" for r in reversed(_TREE.by_directory[""])) + " ELSE false END"
+#: The rules spelled out by hand on a path's elements, last rule first.
+_IGNORED = """CASE WHEN len(e) = 2 AND e[1] = 'de' AND substr(e[2], 1, 1) IN ('1', '2', '3') THEN true
+  WHEN e[-1] LIKE '%0.html' THEN false WHEN list_contains(e, 'fr') THEN true WHEN len(e) = 2 AND e[1] = 'en' AND e[2] LIKE '4%' THEN true
+  WHEN e[-1] LIKE '%.html' THEN true ELSE false END"""
+_PATHS = "(SELECT *, string_split(path, '/') AS e FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages))"
+_PYTHON_LIKE = lambda text: " || ".join("CAST(doc_id AS VARCHAR)" if x == "@" else "CAST(n_chars AS VARCHAR)" if x == "#" else "'" + x.replace("'", "''") + "'" for x in re.split("([@#])", text) if x) or "''"
+_LANGUAGES = {"py": "python", "go": "go", "rs": "rust"}
+
+
+def _lines_sql(first: int, last: int) -> str:
+    return f"array_to_string(list_slice(l, {first + 1}, {last + 1}), chr(10))"
+
+
+def _definitions_sql() -> str:
+    """One SELECT for each object of each language: what is listed beside the sources, and lengths cut from the text by lines."""
+    parts = []
+    for k, (suffix, (text, rows)) in enumerate(SOURCES.items()):
+        files = f"(SELECT doc_id, n_chars, source || '/' || doc_id || '.{suffix}' AS path, string_split({_PYTHON_LIKE(text)}, chr(10)) AS l FROM documents WHERE doc_id % {len(SOURCES)} = {k})"
+        for i, (name, kind, lines, context) in enumerate([("", "file", f"0-{text.count(chr(10))}", ";"), *rows]):
+            first, last = map(int, lines.split("-"))
+            indent = len(text.split("\n")[first]) - len(text.split("\n")[first].lstrip())
+            called = "path" if kind == "file" else _PYTHON_LIKE(name)
+            shown = "".join(f" + length(l[{int(x) + 1}]) + 1" for x in context.split(";")[0].split(",") if x)
+            parts.append(f"SELECT path, {i} AS ordinal, {called} AS name, '{kind}' AS kind, '{_LANGUAGES[suffix]}' AS language, '{lines}' AS line_range, '{context}' AS context, "
+                         f"length({_lines_sql(first, last)}) - {indent} AS n_chars, length(path) + 2{shown} + length({_lines_sql(first, last)}) AS n_shown FROM {files}")
+    return " UNION ALL ".join(parts)
+
+
+#: Where a text is split at a term, the parts before each place add up to where it starts.
+_SPANS = """p AS (
+  SELECT doc_id, term, unnest(e) AS part, generate_subscripts(e, 1) AS k, len(e) AS parts
+  FROM (SELECT doc_id, term, string_split(lower(text), term) AS e FROM documents, (VALUES ('the'), ('hen')) v(term))),
+s AS (
+  SELECT doc_id, start, start + 3 AS "end" FROM (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id, term ORDER BY k) + 3 * (k - 1) AS start FROM p) WHERE k < parts),
+w AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS fresh FROM s),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM w),
+m AS (SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end" FROM g GROUP BY doc_id, island)"""
 
 ORACLE_SQL = {
     "fts_any_column_topk": f"WITH {_match_sql(match_phrases(QUERY), ft.COLUMNS, 'm')} SELECT id, round(rank, 6) AS rank FROM (SELECT * FROM m ORDER BY rank, id LIMIT {TOP_K})",
@@ -297,24 +399,39 @@ FROM stored s FULL JOIN now n ON s.path = n.path""",
     "upsert_files": f"WITH {SNAPSHOTS} SELECT path, size_bytes, t AS last_modified_ns, h AS sha256_digest FROM stored WHERE path NOT IN (SELECT path FROM now) UNION ALL SELECT path, size_bytes, t, h FROM now",
     "embedding_cache_reuse": "SELECT d.doc_id AS object_id, sha256(text) AS content_sha256, coalesce(from_id, -1) AS from_id FROM documents d LEFT JOIN (SELECT sha256(text) AS h, min(doc_id) AS from_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) c ON sha256(d.text) = c.h",
     "embedding_requests": "SELECT sha256(text) AS content_sha256, CAST(any_value(length(text)) AS INTEGER) AS n FROM documents WHERE text <> '' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1",
-    "embeddings_semi_objects": "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'src3')",
+    "embeddings_semi_objects": "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)",
     "text_coordinates": "SELECT doc_id, CAST(len(string_split(text, chr(10))) - 1 AS INTEGER) AS last_row, CAST(strlen(string_split(text, chr(10))[-1]) AS INTEGER) AS last_col, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens FROM documents",
     "language_dispatch": """SELECT page_id, path, CASE regexp_extract(path, '[^/]\\.([^./]*)$', 1) WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'h' THEN 'cpp'
   WHEN 'tsx' THEN 'tsx' WHEN 'mjs' THEN 'javascript' WHEN 'rb' THEN 'ruby' ELSE 'text' END AS language
 FROM (SELECT page_id, 'a/.b/' || page_id || CASE WHEN page_id % 9 = 0 THEN '' ELSE '.' || ['py', 'rs', 'h', 'tsx', 'mjs', 'rb', 'txt', 'PY'][page_id % 8 + 1] END AS path FROM pages)""",
-    "ignored_paths": f"SELECT page_id, path, {_IGNORED} AS ignored FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages)",
+    "ignored_paths": f"SELECT page_id, path, {_IGNORED} AS ignored FROM {_PATHS}",
+    "ignored_paths_nested": f"""SELECT page_id, path, CASE WHEN e[1] = 'en' AND len(e) > 1 AND contains(e[-1], '7') THEN true
+  WHEN e[1] = 'en' AND len(e) > 1 AND e[-1] LIKE '4%' THEN false ELSE {_IGNORED} END AS ignored FROM {_PATHS}""",
+    "decoded_text": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND strlen(t) <> length(t) THEN 'windows-1252' ELSE 'utf-8' END AS encoding, sha256(t) AS text_sha256
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN translate(text, 'œŒ', 'oO') ELSE text END AS t FROM documents)""",
     "binary_filter": "SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n_bytes, text AS content FROM documents WHERE doc_id % 7 <> 0",
-    "render_context": "SELECT doc_id, source || chr(10) || chr(10) || '1 ' || l[1] || chr(10) || '3 ' || l[3] || chr(10) || '4 ' || l[4] AS rendered FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) >= 4",
-    "highlight_spans_merged": """WITH s AS (
-  SELECT item_id, i - 1 AS start, i + 2 AS "end" FROM (SELECT item_id, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM benchmark)
-  WHERE substr(t, i, 3) IN ('the', 'hen')),
-w AS (SELECT *, CASE WHEN max("end") OVER (PARTITION BY item_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= start THEN 0 ELSE 1 END AS fresh FROM s),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM w)
-SELECT item_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end" FROM g GROUP BY item_id, island""",
-    "debounced_batches": """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS burst FROM e)
-SELECT user_id, burst, count(*) AS n, max(event_id) AS last_id FROM b GROUP BY user_id, burst""",
-    "trigram_postings": "SELECT gram, count(*) AS n, min(item_id) AS first_id FROM (SELECT DISTINCT item_id, substr(lower(text), i, 3) AS gram FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark)) GROUP BY gram",
+    "render_context": """SELECT doc_id, sha256(array_to_string(list_concat([source, '', lpad('1', w, ' ') || ' ' || l[1]],
+  list_transform(range(n // 2, n), lambda i: lpad(CAST(i + 1 AS VARCHAR), w, ' ') || ' ' || l[i + 1])), chr(10))) AS rendered_sha256
+FROM (SELECT *, len(l) AS n, CAST(length(CAST(len(l) AS VARCHAR)) AS INTEGER) AS w FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))""",
+    "highlight_spans_merged": f'WITH {_SPANS} SELECT doc_id, start, "end" FROM m',
+    "highlight_span_islands": f'WITH {_SPANS} SELECT doc_id, start, "end" FROM m',
+    "highlighted_line_numbers": f"""WITH {_SPANS},
+ends AS (SELECT doc_id, unnest([start, "end" - 1]) AS p FROM m),
+n AS (SELECT DISTINCT doc_id, length(h) - length(replace(h, chr(10), '')) AS line FROM (SELECT doc_id, substr(text, 1, p) AS h FROM ends JOIN documents USING (doc_id)))
+SELECT doc_id, CAST(count(line) AS INTEGER) AS n, coalesce(string_agg(CAST(line AS VARCHAR), ',' ORDER BY line), '') AS lines FROM documents LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "debounced_batches": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM e)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 3600000000 AS end_us, count(*) AS n FROM b GROUP BY user_id, burst""",
+    "source_definitions": f"SELECT path, CAST(ordinal AS INTEGER) AS ordinal, name, kind, language, line_range, context, CAST(n_chars AS INTEGER) AS n_chars FROM ({_definitions_sql()})",
+    "source_objects_rendered": f"SELECT path, CAST(ordinal AS INTEGER) AS ordinal, true AS agrees, CAST(n_shown AS INTEGER) AS n_chars FROM ({_definitions_sql()})",
+    "trigram_postings": "SELECT gram, count(*) AS n, min(doc_id) AS first_id FROM (SELECT DISTINCT doc_id, substr(lower(text), i, 3) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents)) GROUP BY gram",
+    "batch_token_fill": """WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(ceil(strlen(text) / 4) AS BIGINT) AS tokens, CAST(doc_id % 16 AS INTEGER) AS lane, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS i
+  FROM documents WHERE ceil(strlen(text) / 4) <= 8192),
+f AS (
+  SELECT doc_id, tokens, lane, i, CAST(0 AS BIGINT) AS batch, 1 AS c, tokens AS t FROM d WHERE i = 1 UNION ALL
+  SELECT doc_id, tokens, lane, i, batch + over, CASE over WHEN 1 THEN 1 ELSE c + 1 END, CASE over WHEN 1 THEN tokens ELSE t + tokens END
+  FROM (SELECT d.*, f.batch, f.c, f.t, CASE WHEN f.c >= 64 OR f.t + d.tokens > 40000 THEN 1 ELSE 0 END AS over FROM f JOIN d ON d.lane = f.lane AND d.i = f.i + 1))
+SELECT doc_id, tokens, lane, batch FROM f""",
     "object_labels": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id ELSE source || '/' || doc_id || ' [definition.function] ' || source END AS label, sha256(text) AS content_sha256 FROM documents",
-    "schema_version": "SELECT max(r_regionkey) AS version FROM region",
 }
