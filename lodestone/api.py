@@ -26,9 +26,9 @@ from lodestone.operators import vector as vc
 from lodestone.options import Query, SearchOptions
 from lodestone.parsing.objects import decode, parse
 from lodestone.sources import scan as sc
-from lodestone.store import Store, deterministic_id
+from lodestone.store import MOST_PARTS, Store, deterministic_id
 
-STATS = "n long, avgdl double"
+BUCKETED_POSTING = T.StructType([*S.POSTING.fields, T.StructField("bucket", T.IntegerType())])
 PARSED = "path string, ordinal int, name string, kind string, language string, context_before array<int>, context_after array<int>, byte_range struct<start:int,end:int>, coordinates struct<start:struct<row:int,col:int>,end:struct<row:int,col:int>>, content string, rendered string, content_sha256 string"
 #: Paths that one refresh looks up by name; more are found by listing the tree.
 NAMED_PATHS = 10_000
@@ -128,28 +128,37 @@ class Index:
             return counts
         altered = change.where("change in ('new', 'changed')").select("path")
         replaced = change.where("change in ('new', 'changed', 'deleted')").select("path")
+        bucket = self.store.bucket(F.col("path"))
+        # what follows reads and writes the buckets of the changed paths only
+        touched = {r["b"] for r in change.where("change <> 'same'").select(bucket.alias("b")).distinct().collect()}  # at most as many as there are buckets
         fresh = sc.text_files(read.join(altered, "path", "left_semi"))
-        parsed = self.store.scratch(parse_files(fresh).withColumn("id", deterministic_id()), "parsed")
+        parsed = self.store.scratch(parse_files(fresh).withColumn("id", deterministic_id()).withColumn("bucket", bucket), "parsed")
         # a file that has become binary loses its objects and its row
-        files = sn.delete(sn.delete(stored, replaced), read).unionByName(sc.text_files(read).select(*S.FILE.names))
-        objects = sn.delete(self.objects, replaced).unionByName(parsed.select(*S.OBJECT.names))
+        before = self.store.read("file", S.FILE, touched)
+        files = sn.delete(sn.delete(before, replaced), read).unionByName(sc.text_files(read).select(*S.FILE.names)).withColumn("bucket", bucket)
+        old_objects = self.store.read("object", S.OBJECT, touched)
+        objects = sn.delete(old_objects, replaced).withColumn("bucket", bucket).unionByName(parsed.select(*S.OBJECT.names, "bucket"))
+        old = old_objects.join(replaced, "path", "left_semi").select(F.col("id").alias("object_id"))
+        kept = self.store.read("posting", BUCKETED_POSTING, touched).join(old, "object_id", "left_anti")
+        posted = kept.unionByName(ft.postings(parsed, "bucket"))
+        stats = objects.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(ft.row_length()).cast("long").alias("total"))
+        known, requests = self.embeddings, parsed.select("content_sha256", "rendered")
         if rebuild_vectors:
-            known = self.embeddings.where(F.col("model") != self.embedder.name)
-            requests = self._rendered(objects)
-        else:
-            known, requests = self.embeddings, parsed.select("content_sha256", "rendered")
+            every = self.store.read("object", S.OBJECT, set(range(self.store.buckets)) - touched).unionByName(objects.select(*S.OBJECT.names))
+            known, requests = known.where(F.col("model") != self.embedder.name), self._rendered(every)
         taken = em.within_limit(requests)
         wanted = self.store.scratch(sn.embedding_requests(taken, known, self.embedder.name), "wanted")
-        made = em.embed(wanted, self.embedder).withColumn("model", F.lit(self.embedder.name))
-        self.stats["embedded"] += wanted.count()
+        made, n_made = em.embed(wanted, self.embedder).withColumn("model", F.lit(self.embedder.name)), wanted.count()
+        self.stats["embedded"] += n_made
         self.stats["skipped"] += requests.count() - taken.count()
         self.stats["files_read"] += read.count()
-        # vectors that no object has any more go with the generation
-        embeddings = known.unionByName(made).join(objects.select("content_sha256"), "content_sha256", "left_semi")
-        old = self.objects.join(replaced, "path", "left_semi").select(F.col("id").alias("object_id"))
-        posted = self.postings.join(old, "object_id", "left_anti").unionByName(ft.postings(parsed))
-        stats = objects.agg(F.count("*").alias("n"), F.avg(ft.row_length()).alias("avgdl"))
-        self.store.publish({"file": files, "object": objects, "embedding": embeddings, "posting": posted, "stats": stats})
+        whole = rebuild_vectors or self.store.vector_parts >= MOST_PARTS
+        if whole:  # vectors that no object has any more go
+            every = self.store.read("object", S.OBJECT, set(range(self.store.buckets)) - touched).select("content_sha256").union(objects.select("content_sha256"))
+            vectors = known.unionByName(made).join(every, "content_sha256", "left_semi")
+        else:
+            vectors = made if n_made else None
+        self.store.publish({"file": files, "object": objects, "posting": posted, "stats": stats}, touched, vectors, whole)
         self.cache.clear()
         self.stats["refreshes"] += 1
         return counts
@@ -182,7 +191,7 @@ class Index:
         if key in self.cache:
             self.stats["cache_hits"] += 1
             return self.cache[key]
-        known = self.store.read("stats", STATS)
+        known = self.store.corpus_stats()
         empty = self.spark.createDataFrame([], "id long, name_match boolean, rank double")
         named = ft.full_text_hits(self.objects, o.query, o.top_k, known, self.postings) if o.full_text else empty
         near = vc.range_search(self.vectors(), self.embedder([o.query])[0], o.radius, o.top_k) if o.semantic and o.query else self.spark.createDataFrame([], "id long, dist double")

@@ -28,11 +28,11 @@ def corpus_stats(objects: DataFrame) -> DataFrame:
     return objects.agg(F.count("*").alias("n"), F.avg(row_length()).alias("avgdl"))
 
 
-def postings(objects: DataFrame) -> DataFrame:
-    """(gram, object_id): each distinct trigram of each row."""
+def postings(objects: DataFrame, *keep: str) -> DataFrame:
+    """(gram, object_id, *keep): each distinct trigram of each row."""
     # the outer form: the optimizer would otherwise repeat the whole expression in a filter on its size
     each = F.explode_outer(F.array_distinct(F.concat(*(trigrams(F.col(c)) for c in COLUMNS))))
-    return objects.select(each.alias("gram"), F.col("id").alias("object_id")).where("gram is not null")
+    return objects.select(each.alias("gram"), F.col("id").alias("object_id"), *keep).where("gram is not null")
 
 
 def candidates(posted: DataFrame, phrases: list[str]) -> DataFrame:

@@ -249,6 +249,18 @@ def test_index_follows_its_tree(spark, tmp_path, monkeypatch):
     invariants(index)
     index.store.clean()
     invariants(index)
+    # one changed file rewrites its bucket; the others stay in the generations that wrote them
+    held = dict(index.store.manifest["tables"]["object"])
+    (root / "a.py").write_text("def three(): pass\n")
+    index.refresh(["a.py"])
+    moved = [b for b, g in index.store.manifest["tables"]["object"].items() if held.get(b) != g]
+    assert len(moved) == 1 and index.search(SearchOptions("three", semantic=False)).first()["name"] == "three"
+    monkeypatch.setattr("lodestone.api.MOST_PARTS", 1)
+    (root / "a.py").write_text("def four(): pass\n")
+    index.refresh()
+    assert index.store.vector_parts == 1
+    index.store.clean()
+    invariants(index)
     (index.store.path / "manifest.json").write_text('{"schema_version": 1, "generation": "old"}')
     assert index.counts()["object"] == 0  # an older version's store counts as none
     index.refresh()
