@@ -31,6 +31,12 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, usable: Column,
     return [(r["_out"], r["_y"]) for r in sorted(rows, key=lambda r: str(r["doc_id"]))]
 
 
+def share(labels: DataFrame, label: str, usable: Column) -> float | None:
+    """The share of label 1 among all usable labelled ids (an id with several labels counts with the least); None without any."""
+    own = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where("doc_id is not null and _y is not null").where(usable)
+    return own.groupBy("doc_id").agg(F.min("_y").alias("_y")).agg(F.avg(F.col("_y").cast("double"))).first()[0]
+
+
 class Logistic:
     """Logistic regression by Newton steps with a small ridge; plain numbers, so it travels to executors cheaply."""
 
@@ -47,6 +53,10 @@ class Logistic:
                 break
         self.w = w
 
+    def shift(self, had: float, has: float) -> None:
+        """Move the probabilities from rows of which a share `had` is 1 to a population where that is `has`; both strictly between 0 and 1."""
+        self.w[-1] += np.log(has / (1 - has)) - np.log(had / (1 - had))
+
     def _rows(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
 

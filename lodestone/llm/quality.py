@@ -2,8 +2,9 @@
 
 A text is compressed piece by piece, whole, with either dictionary and with none. The normalised difference of the
 sizes with a dictionary and without it tells how much that dictionary helps; the two differences (and their squares
-and product, as junk that repeats itself needs no help from either) are calibrated to a probability on labelled texts that no dictionary has
-seen. Neither length nor the plain compression ratio enters a score.
+and product, as junk that repeats itself needs no help from either), each also scaled down for short texts, whose differences say less, are
+calibrated to a probability on labelled texts that no dictionary has seen, and moved to the share of good texts among all
+labelled ones. Neither length nor the plain compression ratio enters a score by itself.
 
 Fitting uses a sample bounded by `per_class` texts of at most `max_chars` characters. Scoring is a map over whole
 texts. Cases: null counts as empty, for which no dictionary helps, and gets the calibrated score of that; very long
@@ -22,13 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.labelled import Logistic, fold, sample
+from lodestone.llm.labelled import Logistic, fold, sample, share
 
 PER_CLASS = 4000
 MAX_CHARS = 20_000
 DICTIONARY_BYTES = 1 << 15
 #: Bytes that are compressed at once: short enough for the dictionary to matter in all of them.
 PIECE = 1024
+#: Bytes at which a text's differences count half in the scaled features.
+SCALE = 100
 LEVEL = 3
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -52,7 +55,7 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 class QualityModel:
-    def __init__(self, rows: list[tuple[str, int]], dictionary_bytes: int = DICTIONARY_BYTES):
+    def __init__(self, rows: list[tuple[str, int]], share_good: float | None = None, dictionary_bytes: int = DICTIONARY_BYTES):
         parts = {y: [t.encode() for t, label in rows if label == y] for y in (0, 1)}
         self.constant = None
         if min(map(len, parts.values())) < 4:
@@ -67,6 +70,8 @@ class QualityModel:
                 x.append(self.features(t))
                 y.append(label)
         self.calibrated = Logistic(np.array(x), np.array(y, dtype=float))
+        if share_good is not None and 0 < share_good < 1:
+            self.calibrated.shift(float(np.mean(y)), share_good)
 
     def features(self, raw: bytes) -> list[float]:
         good = bad = plain = 0
@@ -77,7 +82,8 @@ class QualityModel:
             bad += len(with_bad(piece))
             plain += len(without(piece))
         a, b = (plain - good) / plain, (plain - bad) / plain
-        return [a, b, a * a, b * b, a * b]
+        saved, scale = [a, b, a * a, b * b, a * b], len(raw) / (len(raw) + SCALE)
+        return [*saved, *(x * scale for x in saved)]
 
     def scores(self, texts) -> np.ndarray:
         if self.constant is not None:
@@ -87,7 +93,7 @@ class QualityModel:
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> QualityModel:
     usable = fold(F.col("doc_id"), FOLDS) != HELD_OUT
-    return QualityModel(sample(documents, labels, "quality", usable, per_class, max_chars))
+    return QualityModel(sample(documents, labels, "quality", usable, per_class, max_chars), share(labels, "quality", usable))
 
 
 def score_quality(documents: DataFrame, model: QualityModel, out: str = "score") -> DataFrame:
