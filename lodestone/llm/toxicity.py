@@ -36,6 +36,8 @@ GRAMS = (3, 4, 5, 6)
 SLOTS = 1 << 17
 INPUTS = 2 + len(GRAMS) + 1
 SEED = 20240229
+#: Texts that hold something at which its log odds count half.
+FEW = 4
 _R = np.random.default_rng(SEED)
 _GRAM_MULT = {n: _R.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in GRAMS}
 _WORD_MULT = _R.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,10 +124,10 @@ def count_texts(texts: list[str], y: np.ndarray) -> np.ndarray:
 
 
 def log_odds(seen: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of a text's being toxic by what it contains, per hashed slot."""
-    n = np.maximum(seen[:, :, SLOTS:], 1)
+    """Smoothed log odds of a text's being toxic by what it contains, per hashed slot; what few texts hold counts for less."""
+    n, held = np.maximum(seen[:, :, SLOTS:], 1), seen.sum(0)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    return np.where(seen.sum(0) >= 2, odds, 0).astype(np.float32)[:, :SLOTS]
+    return (odds * (held / (held + FEW))).astype(np.float32)[:, :SLOTS]
 
 
 def windows(text_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +276,7 @@ class ToxicityModel:
             seen, whose = np.concatenate([index, short]), np.concatenate([text, text[few]])
             pick = np.concatenate([best, also, np.arange(len(index), len(seen))])
             for _ in range(epochs):
-                for part in np.array_split(r.permutation(pick), max(1, len(pick) // 256)):
+                for part in np.array_split(r.permutation(pick), max(1, len(pick) // min(256, max(16, len(pick) // 24)))):
                     g = self.net.gradients(x_all, seen[part], own[whose[part]].astype(np.float32), weight[whose[part]] / len(part))
                     step += 1
                     for k, v in g.items():
