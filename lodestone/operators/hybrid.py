@@ -28,6 +28,12 @@ def merge(semantic: DataFrame, full_text: DataFrame) -> DataFrame:
     return both.select("id", "l2", "bm25", tier.alias("tier"), pos.cast("int").alias("pos"), src.alias("src"))
 
 
+def disagreeing(semantic: DataFrame, full_text: DataFrame, column: str = "file_digest") -> DataFrame:
+    """The objects that both lists (id, column) hold with different values: none unless they saw different states of the files."""
+    other = full_text.select("id", F.col(column).alias("_other"))
+    return semantic.join(other, "id").where(~F.col(column).eqNullSafe(F.col("_other"))).select("id")
+
+
 def ordered(merged: DataFrame) -> DataFrame:
     return merged.orderBy("tier", "pos", "src", "id")
 

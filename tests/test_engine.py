@@ -1,16 +1,19 @@
 import json
 import os
 import random
+import re
 import sqlite3
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import cli
 from lodestone.api import Index
 from lodestone.functions import text as tx
 from lodestone.functions.highlight import highlight, highlighted_lines, mark
 from lodestone.operators import fulltext as ft
+from lodestone.operators import hybrid as hy
 from lodestone.operators import vector as vc
 from lodestone.operators import embed as em
 from lodestone.operators import snapshot as sn
@@ -357,3 +360,24 @@ def test_range_join_blocks_equal_one_block(spark):
     for block_rows in (1, 4096):
         assert sorted(map(tuple, vc.range_join(vectors, queries, 3.0, block_rows=block_rows).collect())) == want
     assert vc.range_join(vectors, queries.limit(0), 3.0).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root = make(tmp_path / "tree", {"a.py": "def greet():\n    return 'hello'\n", "b.md": "nothing"})
+    at = ["--root", str(root), "--index", str(tmp_path / "index")]
+    assert cli.main(["version"]) == 0 and capsys.readouterr().out.strip()
+    assert cli.main(["search", "x", "--root", "/proc"], spark) == 2
+    assert cli.main(["search", "greet", "--cached-only", "--no-semantic", *at], spark) == 0 and "greet" not in capsys.readouterr().out
+    assert cli.main(["search", "greet", "--no-semantic", "--reasons", "--stats", *at], spark) == 0
+    out = capsys.readouterr().out
+    assert "a.py [definition.function] greet (rank -" in out and "return 'hello'" in out and '"searches": 1' in out and re.search(r"search \d+\.\d+ s", out)
+    assert cli.main(["debug", *at], spark) == 0 and "object 3" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["search", "x", "--radius", "3"])
+    assert cli.latency({"a": 0.0004, "b": 0.5}) == "b 0.500 s"
+
+
+def test_disagreeing_digests(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, file_digest string")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None), (4, "q")], "id long, file_digest string")
+    assert [r.id for r in hy.disagreeing(a, b).collect()] == [2]
