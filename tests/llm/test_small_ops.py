@@ -177,13 +177,13 @@ def test_url_rules_and_propagation(spark):
         return (i, url, "".join(f"<a href='http://{x}/'>x</a>" for x in links), "extra")
 
     rows = [page(1, "http://EXAMPLE.com/en/712?x"), page(2, "https://a.example.net/de/81"), page(3, "https://a.example.net/de/7"), page(4, "http://x.org/es/"), page(5, None), page(6, "no scheme"),
-            page(7, "http://good.net/de/", "Linked.test"), page(8, "http://linked.test/a#b"), page(9, "http://bad.com/en/"), page(10, "http://points.test/q?r", "bad.com"), page(11, "http://example.com"), page(12, "http://com/en/1")]
+            page(7, "http://good.net/de/", "Linked.test"), page(8, "http://linked.test/a#b"), page(9, "http://bad.com/en/"), page(10, "http://points.test/q?r", "bad.com"), page(11, "http://example.com"), page(13, "http://LONG.example.com/" + "y" * 300_000, *["far.test"] * 20_000), page(13, "http://LONG.example.com/" + "y" * 300_000), page(12, "http://com/en/1")]
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string"), threshold=0.1).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("example.com", "/en/712", "example.com/en/7", "allow")
     assert (got[2].rule, got[2].verdict, got[3].rule, got[3].verdict) == ("example.net/de/8", "block", "net/de/", "allow")
     assert got[4].verdict == "block" and (got[5].host, got[5].path, got[5].rule, got[5].verdict) == ("", "", None, "allow") == (got[6].host, got[6].path, got[6].rule, got[6].verdict)
     assert got[8].verdict == "allow" and got[8].path == "/a" and got[10].verdict == "block" and got[10].rule is None
-    assert got[12].rule == "com/en/" and got[11].path == ""
+    assert got[12].rule == "com/en/" and got[11].path == "" and got[13].host == "long.example.com" and len(got[13].path) == 300_001
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -241,11 +241,11 @@ def test_gradients_match_differences():
 
 def test_scores_of_tables(spark):
     rows = labelled(120)
-    docs = spark.createDataFrame([(i, t, "e") for i, t, _, _ in rows] + [(None, None, "e"), (5, "", "e")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame([(i, t, "e") for i, t, _, _ in rows] + [(None, None, "e"), (5, "", "e"), (-1, "so mi taon! " * 100_000, "e")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, q, x) for i, _, q, x in rows] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for module, fit, score in ((quality, quality.fit, quality.score_quality), (toxicity, toxicity.fit, toxicity.score_toxicity)):
         out = score(docs, fit(docs, labels), "_s").collect()
-        assert len(out) == 122 and all(0 <= r["_s"] <= 1 for r in out)
+        assert len(out) == 123 and all(0 <= r["_s"] <= 1 for r in out)
         none = score(docs, fit(docs, labels.limit(0)), "_s").select("_s").distinct().collect()
         assert len(none) == 1
         assert score(docs.limit(0), fit(docs, labels), "_s").count() == 0
