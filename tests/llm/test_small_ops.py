@@ -1,15 +1,17 @@
 """Line dedup, WARC, packing, URL filter, quality, toxicity and decontamination on small fixtures."""
 
 import base64
+import glob
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from lodestone.llm import line_dedup, packing, quality, queries, toxicity, url_filter, warc
+from lodestone.llm import common, line_dedup, packing, quality, queries, toxicity, url_filter, warc
 from lodestone.llm.decontaminate import decontaminate, drop_contaminated, gram_sizes
 
 
@@ -251,3 +253,18 @@ def test_scores_of_tables(spark):
         assert score(docs.limit(0), fit(docs, labels), "_s").count() == 0
         with pytest.raises(ValueError):
             score(docs, fit(docs, labels), "Score")
+
+
+def test_work_tables_leave_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    local = lambda: {f for top in spark.sparkContext._jvm.org.apache.spark.util.Utils.getConfiguredLocalDirs(spark.sparkContext._jsc.sc().conf()) for f in glob.glob(f"{top}/**/shuffle_*", recursive=True)}
+    old = local()
+    out = common.work_table(spark, spark.range(50_000).repartition(7, "id"), "swept")
+    for _ in range(50):
+        if not local() - old:
+            break
+        time.sleep(0.2)
+    assert not local() - old
+    assert out.count() == 50_000 and spark.conf.get(name, None) == before
+    common.discard(out)
