@@ -61,4 +61,5 @@ class Logistic:
         return np.concatenate([(x - self.mean) / self.scale, np.ones((len(x), 1))], axis=1)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._rows(x) @ self.w, -30, 30)))
+        """A row's result is the same whatever the other rows are: sums go by column, as a library's product may order them by place."""
+        return 1 / (1 + np.exp(-np.clip(sum(c * w for c, w in zip(self._rows(x).T, self.w)), -30, 30)))

@@ -145,6 +145,23 @@ def _sigmoid(x):
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
+def _times(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """w.T @ x, each sum in the order of the rows. A library's product may add in another order at the edges of its blocks, so that a
+    column's result would depend on its neighbours."""
+    out = w[0][:, None] * x[0]
+    for a, b in zip(w[1:], x[1:]):
+        out += a[:, None] * b
+    return out
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Over the first axis, in order."""
+    out = x[0].copy()
+    for y in x[1:]:
+        out += y
+    return out
+
+
 class GatedNet:
     """The two directions, attention pooling and output; `p` maps names to float32 arrays."""
 
@@ -156,33 +173,40 @@ class GatedNet:
             self.p |= {f"W{d}": small(INPUTS, 3 * HIDDEN), f"U{d}": small(HIDDEN, 3 * HIDDEN)}
 
     def forward(self, proj: dict[str, np.ndarray], index: np.ndarray, keep: bool = False):
-        """proj: inputs times W of each direction, with a row of zeros last (for places without a word)."""
+        """proj: W times the inputs of each direction, a word a column, with a column of zeros last (for places without a word).
+
+        A window is a column too, and comes out the same whatever the others are."""
         n, h = len(index), HIDDEN
         mask = (index >= 0).astype(np.float32)
-        states = np.zeros((WINDOW, n, 2 * h), dtype=np.float32)
+        states = np.zeros((WINDOW, 2 * h, n), dtype=np.float32)
         tape = {}
         for k, d in enumerate("fb"):
-            u, now = self.p[f"U{d}"], np.zeros((n, h), dtype=np.float32)
+            u, now = self.p[f"U{d}"], np.zeros((h, n), dtype=np.float32)
             for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
-                g, m = proj[d][index[:, t]], mask[:, t : t + 1]
-                zr = _sigmoid(g[:, : 2 * h] + now @ u[:, : 2 * h])
-                z, r = zr[:, :h], zr[:, h:]
-                c = np.tanh(g[:, 2 * h :] + (r * now) @ u[:, 2 * h :])
+                g, m = proj[d][:, index[:, t]], mask[:, t]
+                zr = _sigmoid(g[: 2 * h] + _times(u[:, : 2 * h], now))
+                z, r = zr[:h], zr[h:]
+                c = np.tanh(g[2 * h :] + _times(u[:, 2 * h :], r * now))
                 if keep:
-                    tape[d, t] = (now, z, r, c)
+                    tape[d, t] = (now.T, z.T, r.T, c.T)
                 now = now + m * z * (c - now)
-                states[t, :, k * h : (k + 1) * h] = now
-        e = np.where(mask.T > 0, np.tanh(states) @ self.p["att"], -1e9)
+                states[t, k * h : (k + 1) * h] = now
+        e = np.stack([_times(self.p["att"][:, None], np.tanh(s))[0] for s in states])
+        e = np.where(mask.T > 0, e, -1e9)
         e[0] = np.where(mask.sum(1) > 0, e[0], 0)
         a = np.exp(e - e.max(0))
-        a /= a.sum(0)
-        pooled = (a[:, :, None] * states).sum(0)
-        logit = pooled @ self.p["out"] + self.p["bias"][0]
-        return (logit, states, a, pooled, mask, tape) if keep else logit
-
-    def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
-        zero = np.zeros((1, 3 * HIDDEN), dtype=np.float32)
-        return {d: np.concatenate([x @ self.p[f"W{d}"], zero]) for d in "fb"}
+        a /= _sum(a)
+        pooled = _sum(a[:, None, :] * states)
+        logit = _times(self.p["out"][:, None], pooled)[0] + self.p["bias"][0]
+        return (logit, states.transpose(0, 2, 1), a, pooled.T, mask, tape) if keep else logit
+
+    def project(self, x: np.ndarray, step: int = 2048) -> dict[str, np.ndarray]:
+        out = {d: np.zeros((3 * HIDDEN, len(x) + 1), dtype=np.float32) for d in "fb"}
+        for i in range(0, len(x), step):
+            part = np.ascontiguousarray(x[i : i + step].T)
+            for d in "fb":
+                out[d][:, i : i + part.shape[1]] = _times(self.p[f"W{d}"], part)
+        return out
 
     def logits(self, x: np.ndarray, index: np.ndarray, step: int = 2048) -> np.ndarray:
         """Of windows whose words come in order: each step projects the words that it spans only."""

@@ -219,6 +219,15 @@ def test_quality_and_toxicity_on_held_out_rows():
     assert one[1] == one[2] and one[3] > 0.5 > one[0]
 
 
+def test_scores_do_not_depend_on_the_batch():
+    rows = labelled(60)
+    for model in (quality.QualityModel([(t, y) for _, t, y, _ in rows]), toxicity.ToxicityModel([(t, y) for _, t, _, y in rows])):
+        texts = [t for _, t, _, _ in rows]
+        alone = [model.scores([t])[0] for t in texts]
+        for n in (2, 3, 7, 60):
+            assert alone == [x for at in range(0, 60, n) for x in model.scores(texts[at : at + n])]
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(1)
     x, index = r.standard_normal((40, toxicity.INPUTS)).astype(np.float32), np.where(r.random((5, toxicity.WINDOW)) < 0.8, r.integers(0, 40, (5, toxicity.WINDOW)), -1)
